@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import op2_langid, op7_media, op8_simhash, op10_packing
+from turnwise.llm import op1_quality, op2_langid, op3_urls, op6_substring, op7_media, op8_simhash, op10_packing
 from turnwise.llm.common import table
 from turnwise.session import ship_package
 
@@ -31,7 +31,13 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": op3_urls.ORACLE}
+
+
+@_query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op1_quality.judge(docs, op1_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 @_query
@@ -39,6 +45,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_langid.language_id(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_urls.judge(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_substring.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @_query
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_media.media_features(table(spark, sf_dir, "documents"))
