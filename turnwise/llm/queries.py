@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import op1_quality, op2_langid, op3_urls, op6_substring, op7_media, op8_simhash, op10_packing
+from turnwise.llm import op1_quality, op2_langid, op3_urls, op6_substring, op7_media, op8_simhash, op9_toxicity, op10_packing
 from turnwise.llm.common import table
 from turnwise.session import ship_package
 
@@ -65,6 +65,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op10_packing_spfhp(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
