@@ -68,10 +68,10 @@ def repeated_words(words: Column, near: int = NEAR) -> Column:
     return F.when(F.size(words) > near, found).otherwise(F.lit(0)).cast("long")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each whole text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id (or the whole row, as struct ``doc``) and the statistics of each whole text."""
+    key = "doc" if carry else "doc_id"
+    rows = docs.select(F.struct(*docs.columns).alias("doc") if carry else F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
     trimmed = F.btrim(text, F.lit(SEPARATORS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t-\r]+"))
@@ -79,14 +79,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     of_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     of_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     return rows.select(
-        "doc_id",
+        key,
         of_words.alias("w"),
         of_lines.alias("l"),
         (F.length(text) - _count_of(text, SEPARATORS)).cast("long").alias("word_chars"),
         _count_of(text, SYMBOLS).alias("n_symbols"),
         _count_of(text, UPPER).alias("n_upper"),
         _count_of(text, "!?").alias("n_marks"),
-    ).select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_marks")
+    ).select(key, "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_marks")
 
 
 #: Interpretable ratios that rules speak of, by name.
@@ -185,7 +185,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[T
     return learn([tuple(r) for r in rows], list(FEATURES))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def kept(docs: DataFrame, rules: list[list[Term]]) -> DataFrame:
+    """The rows, with all their columns, that the base and the rules keep."""
+    return features(statistics(docs, carry=True)).where(~base_failed() & verdict(rules)).select("doc.*")
+
+
 def judge(docs: DataFrame, rules: list[list[Term]]) -> DataFrame:
     """Statistics, base_failed, kept of every document."""
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    failed = base_failed()
     return features(statistics(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))

@@ -179,7 +179,7 @@ _RUNS = "row long, minimizer long, first int, windows int, context long"
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """Rows with a number of their own: the doc_id, or a written number if ids are null or repeat."""
-    rows = docs.select("doc_id", "text")
+    rows = docs
     if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").head(1):
         return written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     return rows.withColumn("row", F.col("doc_id"))
@@ -262,25 +262,41 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the text's words that stay, joined by one space).
+    """doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by one space)."""
+    kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
+    return _cut(docs.select("doc_id", "text"), window, gram, hot, kinds, lambda text, words, left, joined: (len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest())).drop("text")
 
-    ``kept`` is null where nothing was removed: the text then stays as it is.
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The rows with their other columns; a text that loses words is its other words joined by one space.
+
+    A row whose text lost all its words is left out; one that had none stays.
     """
+    kinds = [("cut", pa.string()), ("gone", pa.bool_())]
+    out = _cut(docs, window, gram, hot, kinds, lambda text, words, left, joined: (text if len(left) == len(words) else joined.decode(), len(left) < len(words) and not left))
+    text = [F.col("cut").alias("text") if c == "text" else F.length("cut").cast(out.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.where("not gone").select(*text)
+
+
+def _cut(docs: DataFrame, window: int, gram: int, hot: int, kinds: list, each) -> DataFrame:
+    """The rows with columns that ``each`` makes of (text, words, words left, those joined)."""
     rows = _numbered(docs)
-    gone = repeated_spans(rows, window, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    gone = repeated_spans(rows, window, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    names = docs.columns
+    joined = rows.join(gone.hint("shuffle_hash"), "row", "left").select(F.struct(*(f"`{c}`" for c in names)).alias("doc"), "text", "spans")
+    doc = joined.schema["doc"].dataType
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                n, less, kept, sha = [], [], [], []
+                out = []
                 for text, marked in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     words = words_of(text)
                     left = _left(words, [(x["start"], x["end"]) for x in marked or ()])
-                    joined = b" ".join(left)
-                    n.append(len(words))
-                    less.append(len(words) - len(left))
-                    kept.append(joined.decode() if len(left) < len(words) else None)
-                    sha.append(hashlib.sha256(joined).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(less, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return rows.join(gone.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+                    out.append(each(text, words, left, b" ".join(left)))
+                cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True))], names=["doc", *(n for n, _ in kinds)])
+
+    types = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}
+    schema = f"doc {doc.simpleString()}, " + ", ".join(f"{n} {types[k]}" for n, k in kinds)
+    return joined.mapInArrow(run, schema).select("doc.*", *(n for n, _ in kinds))

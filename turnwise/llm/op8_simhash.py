@@ -160,3 +160,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     classes = written(nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
     drop_written(nodes)
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows but those whose class (doc_id, component_id) has a smaller doc_id; rows without id stay."""
+    later = classes.where("doc_id <> component_id").select("doc_id")
+    return docs.join(later, "doc_id", "left_anti").select(docs.columns)

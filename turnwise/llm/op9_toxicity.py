@@ -288,6 +288,22 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, model: Model | float, limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below ``limit``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for batch in batches:
+            for b in slices(batch):
+                texts = b.column(at).to_pylist()
+                out = np.full(len(texts), m) if isinstance(m, float) else m.scores(texts)
+                yield b.filter(pa.array(out < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = score(docs, fit(docs, labels, folds))

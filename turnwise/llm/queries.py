@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import op1_quality, op2_langid, op3_urls, op4_lm, op6_substring, op7_media, op8_simhash, op9_toxicity, op10_packing
+from turnwise.llm import op1_quality, op2_langid, op3_urls, op4_lm, op5_sentencepiece, op6_substring, op7_media, op8_simhash, op9_toxicity, op10_packing
 from turnwise.llm.common import table
 from turnwise.session import ship_package
 
@@ -55,9 +55,14 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_lm.lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@_query
+def op5_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_sentencepiece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_substring.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return op6_substring.dedup(table(spark, sf_dir, "documents"))
 
 
 @_query
