@@ -75,9 +75,9 @@ def expanding_z(df: DataFrame, by: list[str], order: str, value: str, threshold:
     """Rows whose value is ``threshold`` deviations off the mean of the rows before (three at least)."""
     own = Window.partitionBy(*by).orderBy(order)
     before = own.rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.where(F.col(value).isNotNull()).select("*", F.row_number().over(own).alias("at"), F.count("*").over(Window.partitionBy(*by)).alias("n"), F.avg(value).over(before).alias("m"), F.stddev_pop(value).over(before).alias("s"))
-    z = rows.where((F.col("n") >= least) & (F.col("at") > 3) & (F.col("s") >= 1e-6)).withColumn("z", (F.col(value) - F.col("m")) / F.col("s"))
-    return z.where(F.abs("z") >= threshold).drop("at", "n", "m", "s")
+    rows = df.where(F.col(value).isNotNull()).select("*", F.row_number().over(own).alias("_at"), F.count("*").over(Window.partitionBy(*by)).alias("_n"), F.avg(value).over(before).alias("_mean"), F.stddev_pop(value).over(before).alias("_std"))
+    z = rows.where((F.col("_n") >= least) & (F.col("_at") > 3) & (F.col("_std") >= 1e-6)).withColumn("z", (F.col(value) - F.col("_mean")) / F.col("_std"))
+    return z.where(F.abs("z") >= threshold).drop("_at", "_n", "_mean", "_std")
 
 
 def histogram(df: DataFrame, by: list[str], value: str, bins: int, low: float, high: float) -> DataFrame:

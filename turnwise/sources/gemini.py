@@ -28,10 +28,10 @@ def parse(raw: DataFrame, gap_minutes: int = 60) -> DataFrame:
     body = cells.select("i", F.regexp_extract("cell", r'(?s)<div class="content-cell[^"]*"[^>]*>(.*?)</div>', 1).alias("body"))
     parts = body.select("i", F.transform(F.split("body", r"(?i)<br\s*/?>"), lambda p: F.regexp_replace(T.strip(decoded(p)), rf"[{T.SPACE}]+", " ")).alias("lines"), F.split("body", r"(?i)<br\s*/?>").alias("raw")).where(F.element_at("lines", 1).startswith("Prompted"))
     at = parts.withColumn("k", F.array_position(F.transform("lines", lambda x: x.rlike(STAMP)), True)).where("k > 0")
-    stamp = F.element_at("lines", F.col("k").cast("int"))
+    stamp = F.get("lines", F.col("k").cast("int") - 1)  # no error where k is 0, should the filter run later
     local = F.try_to_timestamp(F.regexp_extract(stamp, STAMP, 1), F.lit("MMM d, yyyy, h:mm:ss a"))
     hours = offset(F.regexp_extract(stamp, STAMP, 2))
-    asked = F.filter(F.transform(F.slice("raw", 1, F.col("k").cast("int") - 1), text_of), lambda x: ~x.rlike(r"^Attached \d+ files?") & ~x.startswith("- "))
+    asked = F.filter(F.transform(F.slice("raw", 1, F.greatest(F.col("k").cast("int") - 1, F.lit(0))), text_of), lambda x: ~x.rlike(r"^Attached \d+ files?") & ~x.startswith("- "))
     prompt = T.strip(F.regexp_replace(F.array_join(asked, "\n"), rf"^Prompted[{T.SPACE}]*", ""))
     answer = T.strip(markdown_of(F.array_join(F.slice("raw", F.col("k").cast("int") + 1, F.size("raw")), "<br>")))
     rows = at.select("i", prompt.alias("prompt"), answer.alias("answer"), (local - F.make_dt_interval(hours=hours)).alias("ts"), hours.alias("hours"), local.alias("local")).where("ts is not null and prompt <> '' and answer <> ''")
