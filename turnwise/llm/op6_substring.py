@@ -15,8 +15,9 @@ each shard streams only its own documents' passages. Minimizers that occur once
 can't be in a repeated window and end there; where all windows around a minimizer
 are the same run of words, that run is repeated as a whole. Only passages around
 minimizers with differing contexts reach automata. A minimizer in more than
-``HOT`` places isn't gathered: its windows are counted one by one by 128-bit
-digests, which is exact and splits over tasks.
+``HOT`` places isn't gathered: runs with equal contexts are repeated as a whole, and
+the windows of the others (and of one run of each such context, for all of them) are
+counted one by one by 128-bit digests, which is exact and splits over tasks.
 
 Defined results: a null or empty text has no words and stays empty; texts shorter
 than a window stay; repeated rows are other places where a window starts; rows
@@ -205,13 +206,18 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     spark = rows.sparkSession
     places = written(rows.select("row", "text").mapInArrow(runs, _RUNS), "places")
     many = written(places.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1"), "minimizers")
-    marks = written(places.join(many, "minimizer").select("row", "minimizer", "first", "windows", F.when(F.col("c0") == F.col("c1"), 0).when(F.col("n") <= hot, 1).otherwise(2).alias("way")), "marks")
+    marks = written(places.join(many, "minimizer").select("row", "minimizer", "context", "first", "windows", F.when(F.col("c0") == F.col("c1"), 0).when(F.col("n") <= hot, 1).otherwise(2).alias("way")), "marks")
     drop_written(places, many)
-    whole = marks.where("way = 0").select("row", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (window - 1)).alias("end"))
-    mixed = marks.where("way > 0")
-    total = mixed.where("way = 1").agg(F.coalesce(F.sum(F.col("windows") + (window - 1)), F.lit(0)).alias("n")).first()["n"]
+    hot_runs = marks.where("way = 2")
+    contexts = written(hot_runs.groupBy("minimizer", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")), "contexts")
+    hot_runs = hot_runs.join(contexts, ["minimizer", "context"])
+    whole = marks.where("way = 0").select("row", "first", "windows").union(hot_runs.where("n > 1").select("row", "first", "windows"))
+    whole = whole.select("row", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (window - 1)).alias("end"))
+    alone = hot_runs.where((F.col("n") == 1) | (F.col("one") == F.struct("row", "first"))).select("row", "first", "windows", "minimizer", "way", "n")
+    mixed = marks.where("way = 1").select("row", "first", "windows", "minimizer", "way", F.lit(1).cast("long").alias("n")).union(alone)
+    total = marks.where("way = 1").agg(F.coalesce(F.sum(F.col("windows") + (window - 1)), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-int(total) // SHARD_WORDS))
-    per_row = mixed.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "minimizer", "way")).alias("marks"))  # at most a text's windows
+    per_row = mixed.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "minimizer", "way", "n")).alias("marks"))  # at most a text's windows
     wanted = rows.select("row", "text").join(per_row.hint("shuffle_hash"), "row")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +229,14 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                     for x in marked:
                         at, n = x["first"], x["windows"]
                         if x["way"] == 1:
-                            out.append((row, at, (x["minimizer"] & (2**63 - 1)) % shards, None, b" ".join(words[at : at + n + window - 1])))
+                            out.append((row, at, (x["minimizer"] & (2**63 - 1)) % shards, None, b" ".join(words[at : at + n + window - 1]), 1))
                         else:
-                            out += [(row, i, -1, hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest(), None) for i in range(at, at + n)]
-                c = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], names=["row", "first", "shard", "digest", "words"])
+                            out += [(row, i, -1, hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest(), None, x["n"]) for i in range(at, at + n)]
+                c = list(zip(*out, strict=True)) or [()] * 6
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(c, kinds, strict=True)], names=["row", "first", "shard", "digest", "words", "times"])
 
-    cut = written(wanted.select("row", "text", "marks").mapInArrow(passages, "row long, first int, shard long, digest binary, words binary"), "passages")
+    cut = written(wanted.select("row", "text", "marks").mapInArrow(passages, "row long, first int, shard long, digest binary, words binary, times long"), "passages")
 
     def automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard after the other; rows come sorted by shard."""
@@ -255,8 +262,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
             yield solve(held)
 
     cold = cut.where("words is not null").select("row", "first", "shard", "words").repartition("shard").sortWithinPartitions("shard").mapInArrow(automata, "row long, start int, end int")
-    windows = cut.where("digest is not null").select("row", "first", "digest")
-    twice = written(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digests")
+    windows = cut.where("digest is not null").select("row", "first", "digest", "times")
+    twice = written(windows.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest"), "digests")
     counted = windows.join(twice, "digest").select("row", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
     return whole.union(cold).union(counted)
 
