@@ -207,7 +207,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a[0]), float(a[1])
 
 
-def train(rows: list[tuple[int, str | None, int]], epochs: int = 6, batch: int = 64) -> Model | float:
+def train(rows: list[tuple[int, str | None, int]], batch: int = 64) -> Model | float:
     """A model from rows (doc_id, text, label), or the share of label 1 where there is only one label."""
     rows = sorted(rows, key=lambda r: (r[0], r[1] or "", r[2]))
     labels = np.array([r[2] for r in rows], np.float64)
@@ -227,8 +227,9 @@ def train(rows: list[tuple[int, str | None, int]], epochs: int = 6, batch: int =
     best = [int(np.argmax([np.maximum(g[s : s + WINDOW], 0).sum() for s in starts(len(g))])) for g in guess]
     rng, net = np.random.default_rng(11), model.net
     adam = Adam(net.p, 0.01)
+    epochs = max(6, min(40, 240 // -(-2 * len(docs) // batch)))  # few texts are read more often
     for epoch in range(epochs):
-        if epoch in (1, 3, 5):  # windows by the network so far
+        if epoch in (epochs // 6, epochs // 2, epochs - 1):  # windows by the network so far
             model.index, model.vectors = {}, np.zeros((1, WORD_DIM + PAIR_DIM), np.float32)
             best = [int(x.argmax()) for x in (y for at in range(0, len(docs), 256) for y in model.window_logits(docs[at : at + 256]))]
         jobs = [(d, starts(len(ws))[b]) for d, (ws, b) in enumerate(zip(docs, best, strict=True))]
