@@ -5,7 +5,8 @@ that differ in at most two bits agree in two of their four 16-bit blocks, so nod
 meet in buckets of such block pairs. Within a bucket, Hamming distances to many
 reference fingerprints (pivots) are tabled; by the triangle inequality a pair whose
 distances to any pivot differ by more than two bits is discarded, and survivors are
-verified. A bucket yields a spanning forest of its links, never all pairs.
+verified. A bucket yields its components as stars around their smallest node, never all
+pairs.
 
 A bucket of more than ``BUCKET`` nodes takes an exact way of linear cost: two
 fingerprints are within two bits just if they share a value that is within one bit
@@ -74,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, refs: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within buckets; rows are sorted by key."""
+    """The links within buckets as stars: each linked node with the first of its component. Rows are sorted by key."""
     table = np.bitwise_count(fp[None, :] ^ refs[:, None]).astype(np.int8)
     parent, label = list(range(len(key))), np.arange(len(key))
 
@@ -84,7 +85,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, refs: np.nda
             x = parent[x]
         return x
 
-    out_a, out_b, i, step = [], [], np.arange(len(key)), 0
+    i, step = np.arange(len(key)), 0
     while True:
         step += 1
         i = i[i + step < len(key)]
@@ -101,16 +102,14 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, refs: np.nda
             p, q = find(x), find(x + step)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                out_a.append(x)
-                out_b.append(x + step)
                 joined = True
         if joined:
-            label = np.arange(len(key))
             hold = np.array(parent)
             while (nxt := hold[hold]).tobytes() != hold.tobytes():
                 hold = nxt
             label = hold
-    return node[out_a], node[out_b]
+    at = np.flatnonzero(label != np.arange(len(key)))
+    return node[at], node[label[at]]
 
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -143,9 +142,9 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
             yield emit(held)
 
     if not large.head(1):
-        return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+        return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
     small = dealt.join(large, "key", "left_anti").select("key", "fp", "node")
-    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    found = small.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
     one_bit = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     half = dealt.join(large, "key", "left_semi").select("fp", "node").distinct().select("node", F.explode(F.concat(F.array("fp"), one_bit)).alias("half"))
     met = half.groupBy("half").agg(F.collect_set("node").alias("all")).where("size(all) > 1")  # at most 65 nodes are within one bit of a value
