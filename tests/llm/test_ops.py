@@ -250,6 +250,34 @@ def test_simhash_documents(docs):
     assert op8_simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [6, 16_384])
+def test_near_copies(spark, bucket):
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    out = [None, "", "one two", "one two"]
+    for _ in range(6):
+        base = [word() for _ in range(300)]
+        for changes in [0, 0, 1, 2, 3, 3, 40, 60]:
+            w = list(base)
+            for at in rng.choice(300, changes, replace=False):
+                w[at] = word()
+            out.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(out)] + [(4, out[4]), (None, out[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = [{tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for t in out]
+    label = list(range(len(out)))
+    for _ in out:
+        for i, a in enumerate(grams):
+            for j, b in enumerate(grams):
+                if len(a & b) >= 0.8 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = op8_simhash.similar_documents(df, bucket=bucket).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label)) and len(got) == len(out) + 1
+    one = op8_simhash.first_of_each(df, op8_simhash.similar_documents(df, bucket=bucket)).collect()
+    assert {r.doc_id for r in one} == {*label, None}
+    assert op8_simhash.similar_documents(df.limit(0)).count() == 0
+
+
 def test_toxicity(docs, labels):
     got = by_id(op9_toxicity.toxicity(docs, labels))
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values()) and len(got) == len(texts())

@@ -12,6 +12,14 @@ A bucket of more than ``BUCKET`` nodes takes an exact way of linear cost: two
 fingerprints are within two bits just if they share a value that is within one bit
 of both, so every node is listed under its 65 such values, at most 65 to a value.
 
+``similar_documents`` is the form for near copies: a SimHash of 1,024 bits over the set of
+five-word shingles. At that width a similarity (Jaccard) of 0.8 is 155 differing bits on
+average, and ``LIMIT`` takes 99 in 100 of such pairs, nearly all closer ones, half of
+those at 0.73. Blocks of equal bits can't find so wide a radius, so nodes meet in ten
+buckets of three MinHashes each (0.8: 999 in 1,000 pairs meet). There pivots are taken
+from the bucket itself, as fixed ones lie equally far from everything; the triangle
+inequality discards, XOR verifies, pairs already in one component are skipped.
+
 Defined results: a null text or one without words has fingerprint zero and is linked
 like any other; fewer words than a shingle make one shingle of all; repeated rows
 count once more; a row without id has no component of its own and links nothing.
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.common import drop_written, slices, written
 from turnwise.llm.graph import components
+from turnwise.llm.wordhash import mix, run_hashes, word_hashes
 
 SHINGLE = 3
 RADIUS = 2
@@ -35,6 +44,9 @@ SEED = 42
 PIVOTS = 24
 #: Nodes of a bucket that one task compares.
 BUCKET = 16_384
+#: Near copies: words of a shingle, least similarity, bits, the most that may differ, MinHashes as buckets by rows.
+NEAR_SHINGLE, SIMILARITY, WIDTH, LIMIT = 5, 0.8, 1024, 184
+BANDS, ROWS = 10, 3
 _BLOCKS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
@@ -161,6 +173,138 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def sketch(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[int, bytes, list[int]]:
+    """(distinct shingles, wide fingerprint, keys of the buckets). No words: zero bits, one key pattern of its own."""
+    words = word_hashes((text or "").encode().lower())
+    grams = np.unique(run_hashes(words, np.arange(max(1, len(words) - shingle + 1)), min(shingle, len(words)))) if len(words) else words
+    ones, least = np.zeros(WIDTH, np.int64), np.full(WIDTH // 32, 0xFFFFFFFF, np.uint32)
+    salts = np.arange(1, WIDTH // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(grams), 64 * 255):
+        x = mix(grams[at : at + 64 * 255, None] + salts)
+        least = np.minimum(least, x.view(np.uint32).min(axis=0))
+        for b in range(0, len(x), 255):  # sums of 255 bits fit in a byte
+            ones += np.unpackbits(x[b : b + 255].view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0xD1342543DE82EF95) + least[r : r + BANDS * ROWS : ROWS].astype(np.uint64))
+    return len(grams), np.packbits(2 * ones > len(grams)).tobytes(), key.astype(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """(doc_id, n, wide, keys) of every whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                n, wide, keys = zip(*map(lambda t: sketch(t, shingle), b.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "wide", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, wide binary, keys array<long>")
+
+
+def alike(one: np.ndarray, n: int, many: np.ndarray, ns: np.ndarray) -> np.ndarray:
+    """Which of many fingerprints (rows of 64-bit words, ns shingles) are near copies of one."""
+    near = np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64) <= LIMIT
+    return near & (np.minimum(ns, n) >= SIMILARITY * np.maximum(ns, n))
+
+
+def ball_links(fp: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row of one bucket the first row of its component."""
+    label = np.arange(len(fp))
+    if len(fp) == 2:
+        return np.array([0, 0 if alike(fp[0], n[0], fp[1:], n[1:])[0] else 1])
+    refs = fp[np.linspace(0, len(fp) - 1, min(PIVOTS, len(fp))).astype(int)] if len(fp) > 64 else fp[:0]
+    table = np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int16) for r in refs]) if len(refs) else np.empty((0, len(fp)), np.int16)
+    for i in range(len(fp) - 1):
+        at = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        for d in table:
+            if not len(at):
+                break
+            at = at[np.abs(d[at] - d[i]) <= LIMIT]
+        for joined in np.unique(label[at[alike(fp[i], n[i], fp[at], n[at])]]) if len(at) else ():
+            a, b = sorted((int(label[i]), int(joined)))
+            label[label == b] = a
+    return label
+
+
+def _block_links(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Links (a, b) as stars within each group of ``by``; a group has a bounded number of rows."""
+    rows = rows.select(F.xxhash64(*by).alias("g"), "node", "n", "wide")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def emit(t: pa.Table) -> pa.RecordBatch:
+            g, node, n = (t.column(c).to_numpy() for c in ("g", "node", "n"))
+            fp = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(len(g), -1)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    label = ball_links(fp[lo:hi], n[lo:hi])
+                    at = np.flatnonzero(label != np.arange(hi - lo))
+                    a.append(node[lo + at])
+                    b.append(node[lo + label[at]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not len(held):
+                continue
+            g = held.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+            if cut:
+                yield emit(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield emit(held)
+
+    return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "a long, b long")
+
+
+def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links between nodes (node, n, wide, keys) with the components of all near copies that share a bucket.
+
+    A bucket of more than ``bucket`` nodes is not compared by one task: its first node
+    links all its near copies at once, and only what is left meets all its nodes, in
+    blocks of at most about ``bucket`` rows.
+    """
+    dealt = nodes.select(F.explode("keys").alias("key"), "node", "n", "wide")
+    large = written(dealt.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > bucket), "large")
+    if not large.head(1):
+        return _block_links(dealt, ["key"])
+    small = _block_links(dealt.join(large, "key", "left_anti"), ["key"])
+    hot = dealt.join(large, "key")
+    first = written(hot.groupBy("key").agg(F.min(F.struct("node", "n", "wide")).alias("first")), "first")
+
+    def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, fp = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("first_wide", "wide"))
+                near = np.bitwise_count(one ^ fp).sum(axis=1, dtype=np.int64) <= LIMIT
+                a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first_n", "n"))
+                yield batch.append_column("near", pa.array(near & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b))))
+
+    flat = hot.join(first, "key").select("key", "rows", "node", "n", "wide", F.col("first.node").alias("first_node"), F.col("first.n").alias("first_n"), F.col("first.wide").alias("first_wide"))
+    met = written(flat.mapInArrow(meets, "key long, rows long, node long, n long, wide binary, first_node long, first_n long, first_wide binary, near boolean"), "met")
+    stars = met.where("near and node <> first_node").select(F.col("node").alias("a"), F.col("first_node").alias("b"))
+    half = max(1, bucket // 2)
+    left = written(met.where("not near").groupBy("key").agg(F.count("*").alias("left")), "left")
+    blocks = met.join(left, "key").select("key", "node", "n", "wide", "near", F.ceil(F.col("rows") / half).cast("int").alias("k"), F.ceil(F.col("left") / half).cast("int").alias("m"))
+    at = F.xxhash64("node", F.lit("block"))
+    every = blocks.withColumn("x", F.pmod(at, F.col("k")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rest = blocks.where("not near").withColumn("y", F.pmod(at, F.col("m")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return small.union(stars).union(_block_links(every.unionByName(rest).select("key", "x", "y", "node", "n", "wide"), ["key", "x", "y"]))
+
+
+def similar_documents(docs: DataFrame, shingle: int = NEAR_SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable by near copies) of every row with an id."""
+    every = written(sketches(docs.where("doc_id is not null"), shingle), "sketches")
+    nodes = written(every.groupBy("wide", "n").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "nodes")
+    classes = written(nodes.select("wide", "n", "node").join(components(near_links(nodes, bucket)), "node", "left").select("wide", "n", F.coalesce("component", "node").alias("component_id")), "classes")
+    return every.join(classes, ["wide", "n"]).select("doc_id", "component_id")
+
+
 def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows but those whose class (doc_id, component_id) has a smaller doc_id; rows without id stay."""
     later = classes.where("doc_id <> component_id").select("doc_id")
