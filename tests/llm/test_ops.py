@@ -278,6 +278,16 @@ def test_near_copies(spark, bucket):
     assert op8_simhash.similar_documents(df.limit(0)).count() == 0
 
 
+def test_attention_by_tables():
+    net, rng = op4_lm.Attention.fresh(), np.random.default_rng(4)
+    for k in net.p:
+        net.p[k] = rng.standard_normal(net.p[k].shape).astype(np.float32) * 0.4
+    w = rng.integers(0, op4_lm.CLASSES, (50, 2 * op4_lm.BLOCK)).astype(np.uint8)
+    target = w[:, op4_lm.BLOCK :]
+    want = np.take_along_axis(net.forward(w), target[:, :, None].astype(np.int64), 2)[:, :, 0]
+    assert np.abs(net.target_logs(w, target, net.tables()) - want).max() < 1e-3
+
+
 def test_toxicity(docs, labels):
     got = by_id(op9_toxicity.toxicity(docs, labels))
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values()) and len(got) == len(texts())
