@@ -278,6 +278,25 @@ def test_near_copies(spark, bucket):
     assert op8_simhash.similar_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [4, 16_384])
+def test_near_copies_are_verified(spark, bucket):
+    """Pairs at a similarity of 0.70 to 0.85, and short ones of unequal length: only 0.8 or more is a copy."""
+    rng = np.random.default_rng(6)
+    out = []
+    for i in range(120):
+        n = int(rng.choice([8, 14, 40, 200]))
+        base = [f"p{i}w{k}" for k in range(n + 4)]  # n shingles of five words
+        want = rng.uniform(0.70, 0.85)
+        out += [" ".join(base), " ".join([*base[: 4 + max(1, round(n * want))], *(["tail"] if i % 3 == 0 else [])])]
+    out += ["a b c d e f g h i", "a b c d e f g h"]  # five and four shingles
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in out]
+    df = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op8_simhash.similar_documents(df, bucket=bucket).collect()}
+    for i in range(0, len(out), 2):
+        a, b = grams[i], grams[i + 1]
+        assert (got[i + 1] == i) == (len(a & b) >= 0.8 * len(a | b)), (len(a & b), len(a | b))
+
+
 def test_attention_by_tables():
     net, rng = op4_lm.Attention.fresh(), np.random.default_rng(4)
     for k in net.p:
