@@ -3,8 +3,9 @@
 Quality rules and toxicity drop documents, SimHash keeps one document of each group
 of near copies, substring dedup drops repeated passages of 35 words or more, packing
 cuts what is left into sequences. Each stage's result is written and read again, so
-a lost executor costs at most that stage. Rows without doc_id pass; an empty table
-gives an empty result; a null text is an empty one and fails the first stage.
+a lost executor costs at most that stage. Rows without doc_id pass like others, and
+repeated rows are near copies of each other, so one stays; an empty table gives an
+empty result; a null text is an empty one and fails the first stage.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return op8_simhash.first_of_each(docs, op8_simhash.similar_documents(docs))
+    return op8_simhash.one_of_each(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -378,3 +378,15 @@ def test_pipeline(spark, tmp_path, docs, labels):
         kept.append({r.doc_id for r in rows.select("doc_id").collect()})
     assert all(b <= a for a, b in zip(kept, kept[1:], strict=False)) and 0 not in kept[0]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
+
+
+def test_repeated_rows_stay_once(spark):
+    """Through the near-copy and substring stages: repeated rows, copies without id and ids shared by other texts."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (1, a), (2, b), (None, b), (3, a + " x"), (3, c), (None, "z " + c), (4, a + " y")]
+    df = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id long, text string, row string")
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    assert out.columns == df.columns and sorted((tuple(r) for r in out.collect()), key=str) == [(1, a, "v"), (2, b, "v"), (3, c, "v")]
+    left = corpus_pipeline.substrings(spark, out.select("doc_id", "text"), "").collect()
+    assert sorted(r.text for r in left) == [a, b, c]
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0

@@ -376,3 +376,12 @@ def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows but those whose class (doc_id, component_id) has a smaller doc_id; rows without id stay."""
     later = classes.where("doc_id <> component_id").select("doc_id")
     return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of near copies, repeated rows and rows without id included: the smallest doc_id, null last."""
+    rows = numbered(docs)
+    classes = near_classes(rows.select("row", "doc.doc_id", "doc.text"))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    kept = classes.groupBy("component").agg(F.min(order).alias("one")).select("one.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
