@@ -94,3 +94,21 @@ def test_verbosity_needs_five_user_words(spark):
 def test_first_message_skips_short(spark):
     rows = [("s", 1, 0, "user", "hi"), ("s", 1, 1, "user", "please write me a long text"), ("s", 2, 0, "user", "Write me a poem now"), ("s", 3, 0, "user", "is it so, or not?")]
     assert {r.conv_id: r.kind for r in user.first_messages(turns(spark, rows)).collect()} == {2: "command", 3: "question"}
+
+
+def test_clusters_of_five_features(spark):
+    """Conversations that differ only in their trajectories are told apart; labels follow the centroid."""
+    rows = []
+    for c in range(24):
+        up = c % 2 == 0
+        for k in range(4):
+            n = 20 * (k + 1 if up else 4 - k)
+            rows += [("s", c, 2 * k, "user", "question " * (c // 2 % 2 * k + 3)), ("s", c, 2 * k + 1, "assistant", "answer " * n)]
+    feats = {r.conv_id: r for r in structure.cluster_features(turns(spark, rows)).collect()}
+    r = feats[0]
+    assert (r.turn_pairs, r.duration_min, r.verbosity_trajectory, r.mean_asst_length) == (4, 0, 1, 50) and feats[1].verbosity_trajectory == -1
+    got = structure.clusters(turns(spark, rows)).collect()
+    assert len(got) == 24 and {x.status for x in got} == {"ok"}
+    assert {(x.conv_id % 2, x.label) for x in got} == {(0, "Short concise (escalating)"), (1, "Short concise (tapering)")}
+    assert structure.cluster_label(30, 0, 0, 0, 600) == "Deep verbose (steady)"
+    assert structure.clusters(turns(spark, [("s", c, k, "user", "the same") for c in range(12) for k in range(2)])).count() == 12

@@ -11,6 +11,10 @@ from turnwise.operators.stats import describe, spearman
 from turnwise.operators.turns import CONV, MIN_CHARS, next_turn
 
 DEPTHS = [("quick_exchange", 2), ("short", 6), ("medium", 20), ("deep", 50), ("marathon", None)]
+#: What conversations are clustered by.
+FEATURES = ["turn_pairs", "duration_min", "verbosity_trajectory", "user_effort_trajectory", "mean_asst_length"]
+#: The least silhouette, over squared distances as all pairs of plain ones don't scale: plain, 0.15 is an inner distance of 0.85 of the outer one.
+GATE = 1 - 0.85**2
 
 
 def shapes(turns: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -74,22 +78,42 @@ def rephrasings(vectors: DataFrame, key: list[str], order: str, gap: int = 2, at
     return pairs.withColumn("similarity", T.cosine(F.col("before"), F.col("vector"))).where(F.col("similarity") >= at_least).drop("before", "vector")
 
 
-def clusters(turns: DataFrame, ks: tuple[int, ...] = (4, 5, 6), seeds: int = 3) -> DataFrame:
-    """k-means of five standardised features; the k of the best silhouette. Under ten conversations: none."""
+def cluster_features(turns: DataFrame) -> DataFrame:
+    """The five features of each conversation; a trajectory of fewer than three turns and a missing duration count as 0."""
+    rows = shapes(turns).select(*CONV, F.col("minutes").alias("duration_min"), F.col("mean_response").alias("mean_asst_length"))
+    rows = rows.join(exchanges(turns).select(*CONV, F.col("pairs").cast("double").alias("turn_pairs")), CONV)
+    for role, name in (("assistant", "verbosity_trajectory"), ("user", "user_effort_trajectory")):
+        rows = rows.join(trajectories(turns, role).withColumnRenamed("rho", name), CONV, "left")
+    return rows.select(*CONV, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES))
+
+
+def cluster_label(pairs: float, duration: float, verbosity: float, effort: float, length: float) -> str:
+    """A name for a cluster from its centroid, in the order of ``FEATURES``."""
+    depth = "Quick" if pairs <= 2 else "Short" if pairs <= 6 else "Medium" if pairs <= 20 else "Deep"
+    style = "verbose" if length > 500 else "concise" if length < 150 else "moderate"
+    return f"{depth} {style} ({'escalating' if verbosity > 0.2 else 'tapering' if verbosity < -0.2 else 'steady'})"
+
+
+def clusters(turns: DataFrame, ks: tuple[int, ...] = (4, 5, 6), seeds: int = 10) -> DataFrame:
+    """k-means of five standardised features; of each k the closest of ten starts, of those the k of the best silhouette. Under ten conversations: none."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    names = ["turns", "user_words", "assistant_words", "mean_response", "ratio"]
-    rows = shapes(turns).na.fill(0.0, ["mean_response"]).withColumn("ratio", F.col("assistant_words") / F.greatest("user_words", F.lit(1)))
-    s = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{k}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    rows = cluster_features(turns).persist()  # every start reads it
+    s = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{k}") for c in FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if s["n"] < 10:
-        return rows.select(*CONV, F.lit(None).cast("int").alias("cluster"), F.lit("skipped").alias("status")).limit(0)
-    scaled = rows.select(*CONV, array_to_vector(F.array(*((F.col(c) - s[f"{c}_m"]) / (s[f"{c}_s"] or 1.0) for c in names))).alias("features"))
+        return rows.select(*CONV, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("string").alias("label"), F.lit("skipped").alias("status")).limit(0)
+    scaled = rows.select(*CONV, array_to_vector(F.array(*((F.col(c) - s[f"{c}_m"]) / (s[f"{c}_s"] or 1.0) for c in FEATURES))).alias("features"))
     found = []
     for k in ks:
-        for seed in range(42, 42 + seeds):
-            out = KMeans(k=k, seed=seed, maxIter=50).fit(scaled).transform(scaled)
-            found.append((ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(out), k, out))
-    score, _, best = max(found, key=lambda x: (x[0], -x[1]))
-    return best.select(*CONV, F.col("prediction").alias("cluster"), F.lit("low_quality" if score < 0.15 else "ok").alias("status"))
+        model = min((KMeans(k=k, seed=seed, maxIter=300).fit(scaled) for seed in range(42, 42 + seeds)), key=lambda m: m.summary.trainingCost)
+        if sum(n > 0 for n in model.summary.clusterSizes) > 1:
+            out = model.transform(scaled)
+            found.append((ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(out), -k, model, out))
+    if not found:
+        return rows.select(*CONV, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("string").alias("label"), F.lit("low_quality").alias("status"))
+    score, _, model, best = max(found, key=lambda x: x[:2])
+    names = [cluster_label(*(round(float(x) * (s[f"{c}_s"] or 1.0) + s[f"{c}_m"], 2) for x, c in zip(at, FEATURES, strict=True))) for at in model.clusterCenters()]
+    label = F.element_at(F.array(*map(F.lit, names)), F.col("prediction") + 1)
+    return best.select(*CONV, F.col("prediction").alias("cluster"), label.alias("label"), F.lit("low_quality" if score < GATE else "ok").alias("status"))
