@@ -365,6 +365,17 @@ def test_packing_edge_texts():
         assert got == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_packing_ids_of_odd_white_space():
+    """100,000 short strings of words, blanks of every kind, line ends and controls, against the library."""
+    tok, rng = Tokenizer.from_file(PATH("byte_bpe_50k.json")), np.random.default_rng(8)
+    bits = ["a", "it's", " b", "x1", "é", "日本", "!?", "_", " ", " ", " ", "\n", "\n", "\n\n", "\t", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", "\u180e", "\x00", "\x7f"]
+    odd = ["name\tage\tcity\n\n", "a\tb\n\nc", " a\xa0", "\ta  b"]
+    odd += ["".join(bits[k] for k in rng.integers(0, len(bits) if i % 2 else 14, rng.integers(1, 9))) for i in range(100_000)]
+    got = op10_packing.encode_packed(odd, PATH("byte_bpe_50k.json"), PATH("byte_bpe_50k.tiktoken"))
+    for t, enc, raw in zip(odd, tok.encode_batch(odd, add_special_tokens=False), got, strict=True):
+        assert raw == struct.pack(f"<{len(enc.ids)}I", *enc.ids), repr(t)
+
+
 def test_pipeline(spark, tmp_path, docs, labels):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")

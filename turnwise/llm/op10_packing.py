@@ -6,9 +6,11 @@ each into the pattern with the least tokens that still leaves room, and pattern
 counts are split as they fill up. Patterns are joined back to pieces by the rank
 of a piece among the pieces of its length.
 
-Defined results: a null or empty text is one piece that holds only the end id;
-equal documents give equal pieces in different places; an empty table gives no
-rows; other columns of the input are ignored.
+Defined results: a null or empty text is one piece that holds only the end id; a
+very long text is as many pieces as it takes; equal documents and repeated rows give
+equal pieces in different places; rows without doc_id are packed like others; of
+pieces of one length, which goes where follows their order in the input, not their
+content; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ MAX_TOKENS = 2048
 END_ID = 1
 #: Distinct chunks a worker keeps encoded; when full, the half that came first (the frequent ones) stays.
 CACHE_CHUNKS = 400_000
+#: White space but space and line end, as Python has it, and signs that other libraries once counted as such.
+_OTHER = [chr(c) for c in range(0x110000) if chr(c).isspace() and c not in (10, 32)] + ["\u180e", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"]
+_OTHER_ASCII = [c for c in _OTHER if c < "\x80"]
 _STATE: dict = {}
 
 
@@ -66,13 +71,21 @@ def _load(path: str, ranks_path: str) -> dict:
     return _STATE
 
 
+def single_blanks(text: str) -> bool:
+    """Whether all white space of a text is single spaces and line ends, none at its end and no two side by side."""
+    if text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in (_OTHER_ASCII if text.isascii() else _OTHER))
+
+
 def encode_packed(texts: list[str | None], path: str, ranks_path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit words, without the end id.
 
-    Where single spaces and single line ends are a text's only white space, it is
-    cut before each of them: pre-tokens never reach across such a place, so the
-    chunks are encoded apart (by the same vocabulary as ranks) and remembered. Any
-    other text, and one that may hold a special token, is encoded whole.
+    Where single spaces and single line ends are a text's only white space (see
+    ``single_blanks``), it is cut before each of them: pre-tokens never reach across
+    such a place, so the chunks are encoded apart (by the same vocabulary as ranks)
+    and remembered. Any other text, and one that may hold a special token, is encoded
+    whole.
     """
     state = _load(path, ranks_path)
     first, space, line = state["first"], state["space"], state["line"]
@@ -83,11 +96,11 @@ def encode_packed(texts: list[str | None], path: str, ranks_path: str) -> list[b
         if not text:
             out.append(b"")
             continue
-        rows = [x.split(" ") for x in text.split("\n")]
-        if sum(map(len, rows)) != len(text.split()) or "<|" in text:
+        if "<|" in text or not single_blanks(text):
             ids = state["tok"].encode(text, add_special_tokens=False).ids
             out.append(struct.pack(f"<{len(ids)}I", *ids))
             continue
+        rows = [x.split(" ") for x in text.split("\n")]
         parts = [first[rows[0][0]]]
         parts += map(space.__getitem__, rows[0][1:])
         for row in rows[1:]:
