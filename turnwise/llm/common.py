@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zlib
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The bytes that separate words: space and 0x09-0x0D. ``bytes.split()`` cuts at exactly these.
 SEPARATORS = " \t\n\x0b\f\r"
+_CLEARED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,31 +24,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local session that names none gets a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnwise-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnwise-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark)}/turnwise-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Results are lazy and may read such tables later, so they stay until ``drop_written``,
+    ``drop_all_written`` or the end of the driver.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/turnwise-{uuid.uuid4().hex}/{name}"
+    if spark.sparkContext.applicationId not in _CLEARED:
+        _CLEARED.add(spark.sparkContext.applicationId)
+        atexit.register(_at_end, spark)
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_all_written(spark: SparkSession) -> None:
+    """Delete all tables of this application; call it when its results have been read."""
+    _delete(spark, _own_dir(spark))
+
+
+def _at_end(spark: SparkSession) -> None:
+    with suppress(Exception):  # the session may have ended before the driver
+        drop_all_written(spark)
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Delete tables made by ``written`` that no later plan reads."""
     for df in frames:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
 
 
 def fold(doc_id: Column, k: int) -> Column:
@@ -53,6 +83,11 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
+def held_out(doc_id: Column, k: int, held: int = 0) -> Column:
+    """Whether a row is in the fold that nothing is learned from; rows without id are, in all operators."""
+    return F.coalesce(fold(doc_id, k) == held, F.lit(True))
+
+
 def fold_of(doc_id: int | None, k: int) -> int | None:
     """Python twin of ``fold``."""
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % k

@@ -13,7 +13,9 @@ documents are judged.
 Defined results: a null text is an empty one: no words, base_failed; a sample
 without both labels gives an empty list, which keeps what the base keeps; equal
 gains go to the first statistic, direction and threshold; repeated rows are judged
-alike; other columns of the input stay out of the way.
+alike; a row without doc_id is judged like others and never learned from; a label id
+that stands twice counts twice; a very long text is one row of arrays as long as its
+words; an empty table gives no rows; other columns come through ``kept`` unchanged.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def repeated_words(words: Column, near: int = NEAR) -> Column:
 def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id (or the whole row, as struct ``doc``) and the statistics of each whole text."""
     key = "doc" if carry else "doc_id"
-    rows = docs.select(F.struct(*docs.columns).alias("doc") if carry else F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc") if carry else F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
     trimmed = F.btrim(text, F.lit(SEPARATORS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t-\r]+"))
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[T
     """A decision list for labels.quality = 0 from a bounded sample of labelled rows."""
     some = bounded_sample(labels.where("quality is not null and doc_id is not null").select("doc_id", "quality"), "doc_id", sample, salt="quality")
     known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # about ``sample`` rows of two numbers
-    rows = features(statistics(known.select("doc_id", "text"))).join(F.broadcast(some), "doc_id").select("doc_id", "quality", *FEATURES).collect()
+    rows = features(statistics(known, carry=True)).select("doc.doc_id", "doc.quality", *FEATURES).collect()
     return learn([tuple(r) for r in rows], list(FEATURES))
 
 

@@ -11,7 +11,9 @@ text is scored.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without any training row every text is ``und``; equal counts rank by the n-gram's
-code, equal distances go to the first language by name; repeated rows count again.
+code, equal distances go to the first language by name; repeated rows count again;
+rows without doc_id are held out; a very long text is ranked whole; an empty table
+gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_sample, fold, slices
+from turnwise.llm.common import bounded_sample, held_out, slices
 
 PROFILE = 400
 PER_LANG = 2000
@@ -131,6 +133,6 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], k: int = PROFILE)
 def language_id(docs: DataFrame, folds: int = 5) -> DataFrame:
     """Fit on the documents outside fold 0 and predict all: doc_id, held_out, lang_pred, score."""
     rows = docs.select("doc_id", "text", "lang")
-    profiles = fit_profiles(rows.where(fold(F.col("doc_id"), folds) != 0))
+    profiles = fit_profiles(rows.where(~held_out(F.col("doc_id"), folds)))
     out = identify(rows, profiles)
-    return out.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "lang_pred", "score")

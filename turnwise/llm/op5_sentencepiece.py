@@ -16,7 +16,9 @@ No piece reaches from a character over a following space sign, so a text is cut
 there and each part encoded once per worker while it is remembered.
 
 Defined results: a null text gives null ids and decodes to null; an empty one gives
-no ids; ties take the path with the longer last piece.
+no ids; ties take the path with the longer last piece; repeated rows and rows without
+doc_id are encoded like others; a very long text goes part by part; an empty table
+gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -77,6 +79,7 @@ class Transducer:
             node[""] = i
         back = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [back.get(i, (t or "").encode()) for i, t in enumerate(self.text)]
+        self.fallback = 10.0 - min(self.score.values(), default=0.0)  # what the library takes off for a sign that no piece holds
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -150,7 +153,7 @@ class Transducer:
         best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(_INF, -1, -1)] * len(part)  # weight, from, piece
         for at in range(len(part)):
             for end, piece in self._arcs(part, at):
-                w = best[at][0] + (-self.score[piece] if piece >= 0 else 10.0 + max(-x for x in self.score.values()))
+                w = best[at][0] + (-self.score[piece] if piece >= 0 else self.fallback)
                 if w < best[end][0]:
                     best[end] = (w, at, piece)
         path, at = [], len(part)

@@ -19,9 +19,14 @@ minimizers with differing contexts reach automata. A minimizer in more than
 the windows of the others (and of one run of each such context, for all of them) are
 counted one by one by 128-bit digests, which is exact and splits over tasks.
 
+Keys that stand for many rows (a minimizer, a context or a digest of a passage in
+many copies) are joined by broadcast in blocks, so no task gathers them.
+
 Defined results: a null or empty text has no words and stays empty; texts shorter
-than a window stay; repeated rows are other places where a window starts; rows
-without doc_id are kept as they are and count as places.
+than a window stay; a very long text is one row and streams through like others;
+repeated rows are other places where a window starts; rows without doc_id count as
+places and are cut like others; an empty table gives no rows; columns of any name
+come through unchanged, but for text and, where there is one, n_chars.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnwise.llm.common import drop_written, slices, written
 from turnwise.llm.wordhash import run_hashes, word_hashes
@@ -41,6 +47,8 @@ WINDOW = 35
 GRAM = 8
 #: Places of a minimizer up to which its passages are gathered in one shard.
 HOT = 1000
+#: Keys of frequent values that are broadcast at a time.
+BLOCK = 200_000
 #: Words of passages that a shard has on average.
 SHARD_WORDS = 60_000
 
@@ -179,11 +187,32 @@ _RUNS = "row long, minimizer long, first int, windows int, context long"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own: the doc_id, or a written number if ids are null or repeat."""
-    rows = docs
-    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").head(1):
+    """(row, text, doc): the input row as one struct, so that its names clash with none here.
+
+    ``row`` is the doc_id, or a written number if ids are null or repeat.
+    """
+    rows = docs.select(F.col("doc_id").alias("row"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    if rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1 or row is null").head(1):
         return written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    return rows.withColumn("row", F.col("doc_id"))
+    return rows
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], hot: int, block: int = BLOCK) -> DataFrame:
+    """Inner join where ``right`` (written) has each key once and in ``n`` the number of its rows in ``left``.
+
+    Keys of over ``hot`` rows don't meet in one task: they go out by broadcast, ``block``
+    of them at a time, and only the others are shuffled.
+    """
+    frequent = right.where(F.col("n") > hot)
+    blocks, parts, rest = -(-frequent.count() // block), [], left
+    for i in range(blocks):
+        own = frequent.where(F.pmod(F.xxhash64(*on), F.lit(blocks)) == i)
+        parts.append(left.join(F.broadcast(own), on))  # about ``block`` keys
+        rest = rest.join(F.broadcast(own.select(*on)), on, "left_anti")
+    out = rest.join(right.where(F.col("n") <= hot), on)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -206,14 +235,14 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     spark = rows.sparkSession
     places = written(rows.select("row", "text").mapInArrow(runs, _RUNS), "places")
     many = written(places.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1"), "minimizers")
-    marks = written(places.join(many, "minimizer").select("row", "minimizer", "context", "first", "windows", F.when(F.col("c0") == F.col("c1"), 0).when(F.col("n") <= hot, 1).otherwise(2).alias("way")), "marks")
+    marks = written(split_join(places, many, ["minimizer"], hot).select("row", "minimizer", "context", "first", "windows", F.when(F.col("c0") == F.col("c1"), 0).when(F.col("n") <= hot, 1).otherwise(2).alias("way")), "marks")
     drop_written(places, many)
     hot_runs = marks.where("way = 2")
-    contexts = written(hot_runs.groupBy("minimizer", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")), "contexts")
-    hot_runs = hot_runs.join(contexts, ["minimizer", "context"])
-    whole = marks.where("way = 0").select("row", "first", "windows").union(hot_runs.where("n > 1").select("row", "first", "windows"))
+    # equal contexts are equal runs, so their windows are as many
+    contexts = written(hot_runs.groupBy("minimizer", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows")).alias("one")), "contexts")
+    whole = marks.where("way = 0").select("row", "first", "windows").union(split_join(hot_runs, contexts.where("n > 1").select("minimizer", "context", "n"), ["minimizer", "context"], hot).select("row", "first", "windows"))
     whole = whole.select("row", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (window - 1)).alias("end"))
-    alone = hot_runs.where((F.col("n") == 1) | (F.col("one") == F.struct("row", "first"))).select("row", "first", "windows", "minimizer", "way", "n")
+    alone = contexts.select("one.row", "one.first", "one.windows", "minimizer", F.lit(2).alias("way"), "n")
     mixed = marks.where("way = 1").select("row", "first", "windows", "minimizer", "way", F.lit(1).cast("long").alias("n")).union(alone)
     total = marks.where("way = 1").agg(F.coalesce(F.sum(F.col("windows") + (window - 1)), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-int(total) // SHARD_WORDS))
@@ -263,15 +292,16 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
     cold = cut.where("words is not null").select("row", "first", "shard", "words").repartition("shard").sortWithinPartitions("shard").mapInArrow(automata, "row long, start int, end int")
     windows = cut.where("digest is not null").select("row", "first", "digest", "times")
-    twice = written(windows.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest"), "digests")
-    counted = windows.join(twice, "digest").select("row", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
+    twice = written(windows.groupBy("digest").agg(F.sum("times").alias("times"), F.count("*").alias("n")).where("times > 1").select("digest", "n"), "digests")
+    counted = split_join(windows, twice, ["digest"], hot).select("row", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
     return whole.union(cold).union(counted)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by one space)."""
     kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    return _cut(docs.select("doc_id", "text"), window, gram, hot, kinds, lambda text, words, left, joined: (len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest())).drop("text")
+    out = _cut(docs.select("doc_id", "text"), window, gram, hot, kinds, lambda text, words, left, joined: (len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest()))
+    return out.select("doc.doc_id", *(n for n, _ in kinds))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -281,17 +311,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     """
     kinds = [("cut", pa.string()), ("gone", pa.bool_())]
     out = _cut(docs, window, gram, hot, kinds, lambda text, words, left, joined: (text if len(left) == len(words) else joined.decode(), len(left) < len(words) and not left))
-    text = [F.col("cut").alias("text") if c == "text" else F.length("cut").cast(out.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.where("not gone").select(*text)
+    own = {"text": F.col("cut").alias("text"), "n_chars": F.when(F.col("cut").isNull(), F.col("doc.n_chars")).otherwise(F.length("cut").cast(docs.schema["n_chars"].dataType)).alias("n_chars") if "n_chars" in docs.columns else None}
+    return out.where("not gone").select(*(own.get(c, F.col(f"doc.`{c}`")) for c in docs.columns))
 
 
 def _cut(docs: DataFrame, window: int, gram: int, hot: int, kinds: list, each) -> DataFrame:
-    """The rows with columns that ``each`` makes of (text, words, words left, those joined)."""
+    """(doc, ...): the input rows as structs, with columns that ``each`` makes of (text, words, words left, those joined)."""
     rows = _numbered(docs)
     gone = repeated_spans(rows, window, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    names = docs.columns
-    joined = rows.join(gone.hint("shuffle_hash"), "row", "left").select(F.struct(*(f"`{c}`" for c in names)).alias("doc"), "text", "spans")
-    doc = joined.schema["doc"].dataType
+    joined = rows.join(gone.hint("shuffle_hash"), "row", "left").select("doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,6 +332,5 @@ def _cut(docs: DataFrame, window: int, gram: int, hot: int, kinds: list, each) -
                 cols = list(zip(*out, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True))], names=["doc", *(n for n, _ in kinds)])
 
-    types = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}
-    schema = f"doc {doc.simpleString()}, " + ", ".join(f"{n} {types[k]}" for n, k in kinds)
-    return joined.mapInArrow(run, schema).select("doc.*", *(n for n, _ in kinds))
+    types = {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.bool_(): T.BooleanType()}
+    return joined.mapInArrow(run, T.StructType([joined.schema["doc"], *(T.StructField(n, types[k]) for n, k in kinds)]))

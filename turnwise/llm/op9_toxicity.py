@@ -12,7 +12,10 @@ The fit uses about ``PER_LABEL`` labelled texts of each label, chosen by the has
 their id, whole; every document is scored, whole.
 
 Defined results: a null or empty text has the score of a text without signal; with
-one label only, every score is that label's share; equal rows have equal scores.
+one label only, every score is that label's share; equal rows have equal scores;
+rows without doc_id are held out; a very long text is scored in all its windows; a
+label id that stands twice with different labels counts as both; an empty table gives
+no rows; other columns of the input come through ``kept`` unchanged.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnwise.llm.adam import Adam
-from turnwise.llm.common import bounded_sample, fold, slices
+from turnwise.llm.common import bounded_sample, held_out, slices
 
 PER_LABEL = {0: 1600, 1: 800}
 WINDOW = 48
@@ -267,7 +271,7 @@ def train(rows: list[tuple[int, str | None, int]], batch: int = 64) -> Model | f
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_label: dict[int, int] = PER_LABEL) -> Model | float:
     """Train on labelled texts outside fold 0: about ``per_label`` texts reach the driver."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold(F.col("doc_id"), folds) != 0)
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id"), folds))
     each = [bounded_sample(known.where(F.col("toxic") == y), "doc_id", n, salt="toxicity") for y, n in per_label.items()]
     some = each[0].union(each[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
@@ -292,20 +296,20 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
 def kept(docs: DataFrame, model: Model | float, limit: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that score below ``limit``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
             for b in slices(batch):
-                texts = b.column(at).to_pylist()
+                texts = b.column(1).to_pylist()
                 out = np.full(len(texts), m) if isinstance(m, float) else m.scores(texts)
-                yield b.filter(pa.array(out < limit))
+                yield b.select(["doc"]).filter(pa.array(out < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"]])).select("doc.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = score(docs, fit(docs, labels, folds))
-    return out.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
