@@ -106,40 +106,118 @@ def test_lm_base(docs):
         assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
 
 
+def small_net(dtype=np.float64):
+    rng = np.random.default_rng(0)
+    voc = op4_lm.Vocabulary(rng.integers(0, 50, 90).astype(float), np.arange(90) % 2 == 0)
+    net = op4_lm.Attention.fresh(voc)
+    net.p = {k: (v + rng.standard_normal(v.shape) * 0.2).astype(dtype) for k, v in net.p.items()}
+    return voc, net
+
+
 def test_attention_gradients():
-    net = op4_lm.Attention.fresh()
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    voc, net = small_net()
     rng = np.random.default_rng(0)
-    net.p["out"] += rng.standard_normal(net.p["out"].shape) * 0.1
-    w = rng.integers(0, op4_lm.CLASSES, (3, 2 * op4_lm.BLOCK)).astype(np.uint8)
-    weight = np.full((3, op4_lm.BLOCK), 1 / 24)
+    w = rng.integers(0, len(voc) + 1, (3, op4_lm.WINDOW))
+    weight = (w[:, op4_lm.CONTEXT :] < len(voc)) / 40
 
     def loss():
-        z = net.forward(w)
-        return -(np.take_along_axis(z, w[:, op4_lm.BLOCK :, None].astype(int), 2)[:, :, 0] * weight).sum()
+        y = net.hidden(w, {}).reshape(-1, op4_lm.DIM)
+        use = np.flatnonzero(weight.ravel() > 0)
+        return -(net.logs(y[use], w[:, op4_lm.CONTEXT :].ravel()[use])[0] * weight.ravel()[use]).sum()
 
     keep: dict = {}
-    net.forward(w, keep)
+    net.hidden(w, keep)
     g = net.gradients(keep, weight)
+    full = {k: np.zeros_like(v) for k, v in net.p.items()}
+    full["emb"][g["emb"][0]] = g["emb"][1]
+    for k in ("in", "bi"):
+        for c, x in g[k].items():
+            full[k][voc.start[c] : voc.start[c + 1]] = x
+    full |= {k: x for k, x in g.items() if k not in net.ROWS}
     for k in net.p:
-        at = tuple(rng.integers(0, s) for s in net.p[k].shape) if k != "emb" else (int(w[0, 0]), 0)
-        old = net.p[k][at]
-        net.p[k][at] = old + 1e-5
-        up = loss()
-        net.p[k][at] = old - 1e-5
-        down = loss()
-        net.p[k][at] = old
-        assert abs((up - down) / 2e-5 - g[k][at]) < 1e-4, k
-
-
-def test_attention_is_causal():
-    net = op4_lm.Attention.fresh()
-    net.p["out"] += 0.1
-    w = np.arange(16, dtype=np.uint8)[None, :]
+        for _ in range(4):
+            at = tuple(int(rng.integers(0, s)) for s in net.p[k].shape)
+            old = net.p[k][at]
+            net.p[k][at] = old + 1e-5
+            up = loss()
+            net.p[k][at] = old - 1e-5
+            down = loss()
+            net.p[k][at] = old
+            assert abs((up - down) / 2e-5 - full[k][at]) < 1e-5, k
+
+
+def test_attention_is_a_causal_distribution():
+    voc, net = small_net()
+    w = np.random.default_rng(1).integers(0, len(voc), (1, op4_lm.WINDOW))
     x = w.copy()
-    x[0, 12] = 40
-    a, b = net.forward(w), net.forward(x)
-    assert np.allclose(a[0, :5], b[0, :5])
+    x[0, op4_lm.CONTEXT + 7] = (x[0, op4_lm.CONTEXT + 7] + 1) % len(voc)
+    a, b = net.hidden(w, {}), net.hidden(x, {})
+    assert np.allclose(a[0, :8], b[0, :8]) and not np.allclose(a[0, 8:], b[0, 8:])
+    for y in a[0]:
+        logs, begins = net.logs(np.tile(y, (len(voc), 1)), np.arange(len(voc)))
+        assert abs(np.exp(logs).sum() - 1) < 1e-9 and abs(np.exp(logs[: voc.start[voc.first]]).sum() - np.exp(begins[0])) < 1e-9
+
+
+def test_score_is_a_causal_sum():
+    """Each token once, held against a walk over the text that takes one id after the other."""
+    path = PATH("byte_bpe_50k.tiktoken")
+    begins, rng = op4_lm.begins_word(path), np.random.default_rng(2)
+    encode = op4_lm._encoder(path)
+    docs = [w.split() for w in (b"", b"the", EN.encode(), (EN * 3 + "x\x00y odd\u00e9words unheardof").encode())]
+    train = collections.Counter(docs[2])
+    table = np.zeros((3, len(begins)))
+    for word, c in train.items():
+        ids = encode(word)
+        table[0, ids] += c
+        table[1:, ids[0]] += (c, 1)
+    voc = op4_lm.Vocabulary(table[0], begins)
+    net = op4_lm.Attention.fresh(voc)
+    net.p = {k: (v + rng.standard_normal(v.shape) * 0.1).astype(np.float32) for k, v in net.p.items()}
+    hot = {w: c for w, c in train.items() if c > 1}
+    model = op4_lm.Scorer(net, voc.slot, path, table[1:], hot)
+    got, rest = model.score(model.numbers(docs))
+    for words, score, spelled in zip(docs, got, rest, strict=True):
+        ids = [i for w in words for i in encode(w)]
+        slots = [*voc.slot[ids].tolist(), 0]
+
+        def logs(at, slots=slots):
+            """(log P of the id at a place, log P that a word begins there), from its window alone."""
+            block = at // op4_lm.BLOCK * op4_lm.BLOCK
+            seen = [len(voc)] * op4_lm.WINDOW + slots[:at] + [0] * op4_lm.WINDOW  # what comes later can't matter
+            w = np.array(seen[block + op4_lm.WINDOW - op4_lm.CONTEXT :][: op4_lm.WINDOW])[None]
+            a, b = net.logs(net.hidden(w, {})[0, at - block][None], np.array([slots[at]]))
+            return float(a[0]), float(b[0])
+
+        at, want, want_rest = 0, 0.0, []
+        for word in words:
+            ids = encode(word)
+            a, b = logs(at)
+            want += a - b
+            n, kinds = table[1:, ids[0]]
+            back = np.log(kinds / (kinds + n)) if n else 0.0
+            want_rest.append(back + sum(logs(at + k)[0] for k in range(1, len(ids))) + logs(at + len(ids))[1])
+            if word in hot:
+                want += np.log(hot[word] / (kinds + n))
+            at += len(ids)
+        a, b = logs(at)
+        assert abs(score - (want + a - b)) < 1e-3 * max(1, abs(want))
+        cold = [k for k, w in enumerate(words) if w not in hot]
+        assert np.allclose(np.array(spelled)[cold], np.array(want_rest)[cold], atol=1e-3)
+
+
+def test_lm_scores_beat_the_base(spark):
+    """On text whose words follow each other by a rule, the model of held-out texts is above the unigram base; a row's score is its words' sum."""
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in ("ba", "ko", "ri", "tu", "ne", "sha", "lo", "mi") for b in ("n", "rd", "st", "l", "ck")]
+    rows = []
+    for i in range(300):
+        at, out = int(rng.integers(0, len(words))), []
+        for _ in range(120):
+            out.append(words[at])
+            at = (at * 3 + int(rng.integers(1, 4))) % len(words)
+        rows.append((i, " ".join(out)))
+    got = op4_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH("byte_bpe_50k.tiktoken"), hot_words=10).where("held_out").collect()
+    assert len(got) > 20 and sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got) and all(r.n_known == r.n_tokens for r in got)
 
 
 def test_sentencepiece_same_as_library(docs):
@@ -344,13 +422,9 @@ def test_near_copies_are_verified(spark, bucket):
 
 
 def test_attention_by_tables():
-    net, rng = op4_lm.Attention.fresh(), np.random.default_rng(4)
-    for k in net.p:
-        net.p[k] = rng.standard_normal(net.p[k].shape).astype(np.float32) * 0.4
-    w = rng.integers(0, op4_lm.CLASSES, (50, 2 * op4_lm.BLOCK)).astype(np.uint8)
-    target = w[:, op4_lm.BLOCK :]
-    want = np.take_along_axis(net.forward(w), target[:, :, None].astype(np.int64), 2)[:, :, 0]
-    assert np.abs(net.target_logs(w, target, net.tables()) - want).max() < 1e-3
+    voc, net = small_net(np.float32)
+    w = np.random.default_rng(4).integers(0, len(voc) + 1, (50, op4_lm.WINDOW))
+    assert np.abs(net.states(w) - net.hidden(w, {}).reshape(-1, op4_lm.DIM)).max() < 1e-3
 
 
 def test_toxicity(docs, labels):
