@@ -424,7 +424,8 @@ def test_near_copies_are_verified(spark, bucket):
 def test_attention_by_tables():
     voc, net = small_net(np.float32)
     w = np.random.default_rng(4).integers(0, len(voc) + 1, (50, op4_lm.WINDOW))
-    assert np.abs(net.states(w) - net.hidden(w, {}).reshape(-1, op4_lm.DIM)).max() < 1e-3
+    use = np.arange(3, 50 * op4_lm.BLOCK, 2)
+    assert np.abs(net.states(w, use) - net.hidden(w, {}).reshape(-1, op4_lm.DIM)[use]).max() < 1e-3
 
 
 def test_toxicity(docs, labels):
