@@ -41,8 +41,13 @@ def stripped_of(t: Column, chars: str = DECORATION) -> Column:
 
 
 def opener(t: Column, n: int, chars: str = DECORATION) -> Column:
-    """Word ``n`` (from 0) without decoration; null if there is none or nothing is left."""
-    w = stripped_of(F.get(words(t), n), chars)
+    """Word ``n`` (from 0) without decoration; null if there is none or nothing is left.
+
+    Only the text up to that word is looked at.
+    """
+    cls = "".join("\\" + c for c in chars)
+    before = rf"^[{SPACE}]*(?:[^{SPACE}]+[{SPACE}]+){{{n}}}" if n else rf"^[{SPACE}]*"
+    w = F.regexp_extract(t, rf"{before}[{cls}]*([^{SPACE}]*?)[{cls}]*(?:[{SPACE}]|$)", 1)
     return F.when(w != "", w)
 
 

@@ -17,7 +17,7 @@ def content_tokens():
 
 
 def vocabulary(turns: DataFrame, role: str = "assistant", window: int = 500) -> DataFrame:
-    rows = positioned(said_by(turns, role), content_tokens(), ["source"], ["conv_id", "turn_idx"])
+    rows = positioned(said_by(turns, role), content_tokens(), ["source"])
     return mattr(rows, ["source"], window).select("source", F.col("n").alias("tokens"), "types", F.round(F.col("types") / F.col("n"), 4).alias("ttr"), F.round("mattr", 4).alias("mattr"))
 
 

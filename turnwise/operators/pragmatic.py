@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicons as L
 from turnwise.functions import text as T
 from turnwise.operators.stats import describe, per_1k, top_k
-from turnwise.operators.turns import CONV, answered, phrase_counts, said_by, word_totals
+from turnwise.operators.turns import CONV, answered, phrase_counts, said_by
 
 
 def phrases(turns: DataFrame, role: str, lists: dict[str, list[str]], plain: bool = False) -> DataFrame:
     """source, category, phrase, n, per_1k."""
-    own = said_by(turns, role)
-    return phrase_counts(own, lists, plain).join(word_totals(own), "source").select("source", "category", "phrase", "n", per_1k(F.col("n"), F.col("words")).alias("per_1k"))
+    return phrase_counts(said_by(turns, role), lists, plain).select("source", "category", "phrase", "n", per_1k(F.col("n"), F.col("words")).alias("per_1k"))
 
 
 def categories(turns: DataFrame, role: str, lists: dict[str, list[str]]) -> DataFrame:
     """source, category, n, per_1k, density (all categories per 1k words of the source)."""
-    own = said_by(turns, role)
-    n = phrase_counts(own, lists).groupBy("source", "category").agg(F.sum("n").alias("n"))
-    total = n.groupBy("source").agg(F.sum("n").alias("total")).join(word_totals(own), "source")
-    return n.join(total, "source").select("source", "category", "n", per_1k(F.col("n"), F.col("words")).alias("per_1k"), per_1k(F.col("total"), F.col("words")).alias("density"))
+    n = phrase_counts(said_by(turns, role), lists).groupBy("source", "category").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    total = F.sum("n").over(Window.partitionBy("source"))  # a few rows a source
+    return n.select("source", "category", "n", per_1k(F.col("n"), F.col("words")).alias("per_1k"), per_1k(total, F.col("words")).alias("density"))
 
 
 def question_rate(turns: DataFrame, role: str = "assistant") -> DataFrame:

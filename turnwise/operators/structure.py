@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import lexicons as L
 from turnwise.functions import text as T
-from turnwise.operators.stats import describe, spearman
+from turnwise.operators.stats import describe, pearson, spearman
 from turnwise.operators.turns import CONV, MIN_CHARS, next_turn
 
 DEPTHS = [("quick_exchange", 2), ("short", 6), ("medium", 20), ("deep", 50), ("marathon", None)]
@@ -29,7 +29,19 @@ def shapes(turns: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def shape_metrics(turns: DataFrame) -> DataFrame:
-    return shapes(turns).groupBy("source").agg(*describe("turns", "turns"), *describe("user_words", "user_words"), *describe("assistant_words", "assistant_words"), *describe("minutes", "minutes"))
+    """Descriptors by source: turns, user and assistant turns and words, mean response, minutes, both trajectories."""
+    rows = shapes(turns)
+    for role, name in (("assistant", "verbosity_trajectory"), ("user", "effort_trajectory")):
+        rows = rows.join(trajectories(turns, role).withColumnRenamed("rho", name), CONV, "left")
+    names = ["turns", "user_turns", "assistant_turns", "user_words", "assistant_words", "mean_response", "minutes", "verbosity_trajectory", "effort_trajectory"]
+    return rows.groupBy("source").agg(*(c for n in names for c in describe(n, n)))
+
+
+def pearson_trajectories(turns: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """source, conv_id, role, r: of a turn's number among those of its role with its words, for three turns or more."""
+    rows = turns.where(F.length("content") >= min_chars).select(*CONV, "role", "turn_idx", T.word_count(F.col("content")).alias("y"))
+    nth = rows.withColumn("x", F.row_number().over(Window.partitionBy(*CONV, "role").orderBy("turn_idx")) - 1)
+    return pearson(nth, [*CONV, "role"], "x", "y")
 
 
 def trajectories(turns: DataFrame, role: str = "assistant", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -72,12 +84,36 @@ def resolution(turns: DataFrame) -> DataFrame:
 
 
 def rephrasings(vectors: DataFrame, key: list[str], order: str, gap: int = 2, at_least: float = 0.6) -> DataFrame:
-    """Adjacent vectors of a key, ``gap`` or more apart in order, as similar as that or more."""
+    """Adjacent vectors of a key, ``gap`` or more apart in order, as similar as that or more.
+
+    Other columns are the later row's; ``at`` is the earlier one's place, ``content_before`` its text where there is one.
+    """
     w = Window.partitionBy(*key).orderBy(order)
-    pairs = vectors.withColumns({"before": F.lag("vector").over(w), "at": F.lag(order).over(w)}).where((F.col("before").isNotNull()) & (F.col(order) - F.col("at") >= gap))
+    before = {"before": F.lag("vector").over(w), "at": F.lag(order).over(w)} | ({"content_before": F.lag("content").over(w)} if "content" in vectors.columns else {})
+    pairs = vectors.withColumns(before).where((F.col("before").isNotNull()) & (F.col(order) - F.col("at") >= gap))
     return pairs.withColumn("similarity", T.cosine(F.col("before"), F.col("vector"))).where(F.col("similarity") >= at_least).drop("before", "vector")
 
 
+def rephrase_report(turns: DataFrame, vectors: DataFrame, at_least: float = 0.6) -> DataFrame:
+    """source, total, per_100_turns, conversations, per_conversation, n_user_turns, n_conversations.
+
+    vectors: the eligible user turns with ``vector``; turns: all turns, for the number of conversations.
+    """
+    found = rephrasings(vectors, CONV, "turn_idx", 2, at_least).groupBy("source").agg(F.count("*").alias("total"), F.count_distinct("conv_id").alias("conversations"))
+    users = vectors.groupBy("source").agg(F.count("*").alias("n_user_turns"))
+    convs = turns.groupBy("source").agg(F.count_distinct("conv_id").alias("n_conversations"))
+    rows = users.join(convs, "source").join(found, "source", "left").na.fill(0, ["total", "conversations"])
+    return rows.select("source", "total", F.round(F.col("total") * 100 / F.greatest("n_user_turns", F.lit(1)), 2).alias("per_100_turns"), "conversations", F.round(F.col("total") / F.greatest("n_conversations", F.lit(1)), 3).alias("per_conversation"), "n_user_turns", "n_conversations")
+
+
+def rephrase_examples(vectors: DataFrame, k: int = 5, shown: int = 200, at_least: float = 0.6) -> DataFrame:
+    """source, rank, conv_id, turn_idx, before, after, similarity: the clearest of each source, texts cut for display."""
+    found = rephrasings(vectors, CONV, "turn_idx", 2, at_least)
+    order = Window.partitionBy("source").orderBy(F.desc(F.round("similarity", 4)), "conv_id", "turn_idx")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("source", "rank", "conv_id", "turn_idx", F.substring("content_before", 1, shown).alias("before"), F.substring("content", 1, shown).alias("after"), F.round("similarity", 4).alias("similarity"))
+
+
 def cluster_features(turns: DataFrame) -> DataFrame:
     """The five features of each conversation; a trajectory of fewer than three turns and a missing duration count as 0."""
     rows = shapes(turns).select(*CONV, F.col("minutes").alias("duration_min"), F.col("mean_response").alias("mean_asst_length"))
@@ -104,10 +140,11 @@ def clusters(turns: DataFrame, ks: tuple[int, ...] = (4, 5, 6), seeds: int = 10)
     s = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{k}") for c in FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if s["n"] < 10:
         return rows.select(*CONV, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("string").alias("label"), F.lit("skipped").alias("status")).limit(0)
-    scaled = rows.select(*CONV, array_to_vector(F.array(*((F.col(c) - s[f"{c}_m"]) / (s[f"{c}_s"] or 1.0) for c in FEATURES))).alias("features"))
+    parts = max(1, s["n"] // 50_000)  # a row is five numbers: few tasks for few conversations
+    scaled = rows.coalesce(parts).select(*CONV, array_to_vector(F.array(*((F.col(c) - s[f"{c}_m"]) / (s[f"{c}_s"] or 1.0) for c in FEATURES))).alias("features")).persist()
     found = []
     for k in ks:
-        model = min((KMeans(k=k, seed=seed, maxIter=300).fit(scaled) for seed in range(42, 42 + seeds)), key=lambda m: m.summary.trainingCost)
+        model = min((KMeans(k=k, seed=seed, maxIter=300, initMode="random").fit(scaled) for seed in range(42, 42 + seeds)), key=lambda m: m.summary.trainingCost)
         if sum(n > 0 for n in model.summary.clusterSizes) > 1:
             out = model.transform(scaled)
             found.append((ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(out), -k, model, out))

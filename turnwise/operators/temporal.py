@@ -44,7 +44,7 @@ def bot_trends(turns: DataFrame, window: int = 500) -> DataFrame:
     hedges = sum((T.count_phrase(F.lower(t), p) for ps in L.HEDGES.values() for p in ps), F.lit(0))
     n = bot.groupBy("month", "source").agg(F.avg(T.word_count(t)).alias("mean_words"), per_1k(F.sum(hedges), F.sum(T.word_count(t))).alias("hedges_per_1k"), per_1k(F.sum(marks_per_text()), F.sum(T.word_count(t))).alias("marks_per_1k"), F.avg(T.count_text(t, "?")).alias("questions"), F.avg(F.when(T.word_count(t) >= 5, T.flesch_kincaid(t))).alias("fk"))
     tokens = F.filter(T.words(F.lower(t)), lambda w: w.rlike(r"^\p{L}+$") & (F.length(w) > 1))
-    v = mattr(positioned(bot, tokens, ["month", "source"], ["conv_id", "turn_idx"]), ["month", "source"], window, "null")
+    v = mattr(positioned(bot, tokens, ["month", "source"]), ["month", "source"], window, "null")
     return grid(m).join(n, ["month", "source"], "left").join(v.select("month", "source", "mattr"), ["month", "source"], "left").select("month", "source", F.round("mean_words", 1).alias("mean_words"), F.round("mattr", 4).alias("mattr"), "hedges_per_1k", "marks_per_1k", F.round("questions", 4).alias("questions"), F.round("fk", 4).alias("fk"))
 
 
@@ -54,6 +54,23 @@ def user_trends(turns: DataFrame) -> DataFrame:
     return grid(m).join(n, ["month", "source"], "left")
 
 
+def topic_shifts(labelled: DataFrame, k: int = 10) -> DataFrame:
+    """month, topic, n, share of the month's turns, for the ``k`` largest topics. labelled: filtered turns with ``topic``."""
+    rows = monthly(labelled).where("topic <> -1")
+    top = rows.groupBy("topic").count().orderBy(F.desc("count"), "topic").limit(k).select("topic")
+    n = rows.groupBy("month", "topic").agg(F.count("*").alias("n"))
+    shared = n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("month")), 4))
+    return shared.join(F.broadcast(top), "topic", "left_semi").select("month", "topic", "n", "share")
+
+
+def all_inflections(trends: DataFrame, metrics: list[str], threshold: float = 1.5) -> DataFrame:
+    """rank, source, metric, month, value, z of every metric's inflections, the strongest first."""
+    long = trends.select("month", "source", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(["month", "source"], metrics, "metric", "value")
+    z = expanding_z(long, ["source", "metric"], "month", "value", threshold).withColumn("z", F.round("z", 2))
+    order = Window.orderBy(F.desc(F.abs("z")), "source", "metric", "month")  # a row a month, source and metric at most
+    return z.select(F.row_number().over(order).alias("rank"), "source", "metric", "month", "value", "z")
+
+
 def inflections(trends: DataFrame, metric: str, threshold: float = 1.5) -> DataFrame:
     z = expanding_z(trends.select("month", "source", F.col(metric).alias("value")), ["source"], "month", "value", threshold)
     return z.select("source", "month", "value", F.round("z", 2).alias("z"))

@@ -30,24 +30,41 @@ def answered(turns: DataFrame) -> DataFrame:
     return next_turn(turns).where("role = 'user' and role2 = 'assistant'")
 
 
-def positioned(turns: DataFrame, tokens, by: list[str], order: list[str]) -> DataFrame:
-    """(by..., pos, token): tokens of all turns in order, numbered from 0 in each group.
+def starts(totals: DataFrame, by: list[str], key: str, n: str, most: int = 1_000_000) -> DataFrame:
+    """(by..., key, before): sums of ``n`` over the smaller keys of each group. totals: a row for each key.
 
-    Only turn counts are summed up in order; tokens are never sorted as a whole.
+    Up to ``most`` keys a group is summed in one window. Beyond that keys fall into ranges
+    whose bounds are a sample of some 300 keys, and only the sums of ranges meet.
     """
-    rows = turns.select(*by, *order, tokens.alias("tokens"))
-    before = F.sum(F.size("tokens")).over(Window.partitionBy(*by).orderBy(*order)) - F.size("tokens")
-    return rows.withColumn("before", before).select(*by, "before", F.posexplode("tokens").alias("i", "token")).select(*by, (F.col("before") + F.col("i")).alias("pos"), "token")
+    keys = totals.count()
+    own = Window.partitionBy(*by).orderBy(key)
+    if keys <= most:
+        return totals.select(*by, key, (F.sum(n).over(own) - F.col(n)).alias("before"))
+    share = max(1, keys // 300)
+    bounds = totals.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).agg(F.array_sort(F.collect_set(key)).alias("b")).first()["b"]
+    ranged = totals.withColumn("range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))))
+    sums = ranged.groupBy(*by, "range").agg(F.sum(n).alias("sum"))
+    earlier = sums.select(*by, "range", (F.sum("sum").over(Window.partitionBy(*by).orderBy("range")) - F.col("sum")).alias("earlier"))
+    within = F.sum(n).over(Window.partitionBy(*by, "range").orderBy(key)) - F.col(n)
+    return ranged.withColumn("within", within).join(F.broadcast(earlier), [*by, "range"]).select(*by, key, (F.col("within") + F.col("earlier")).alias("before"))  # some 300 ranges a group
+
+
+def positioned(turns: DataFrame, tokens, by: list[str], most: int = 1_000_000) -> DataFrame:
+    """(by..., pos, token): tokens of all turns by conversation and turn, numbered from 0 in each group.
+
+    Tokens are ordered within their conversation only; of conversations just the numbers of tokens are summed up.
+    """
+    rows = turns.select(*by, "conv_id", "turn_idx", tokens.alias("tokens"))
+    first = starts(rows.groupBy(*by, "conv_id").agg(F.sum(F.size("tokens")).alias("n")), by, "conv_id", "n", most)
+    within = F.sum(F.size("tokens")).over(Window.partitionBy(*by, "conv_id").orderBy("turn_idx")) - F.size("tokens")
+    placed = rows.withColumn("within", within).join(first, [*by, "conv_id"])
+    return placed.select(*by, (F.col("before") + F.col("within")).alias("at"), F.posexplode("tokens").alias("i", "token")).select(*by, (F.col("at") + F.col("i")).alias("pos"), "token")
 
 
 def phrase_counts(turns: DataFrame, lists: dict[str, list[str]], plain: bool = False) -> DataFrame:
-    """(source, category, phrase, n): occurrences in lower-cased turns, all in one scan."""
-    lower = F.lower("content")
+    """(source, words, category, phrase, n): words and occurrences in lower-cased turns, all in one aggregate."""
+    rows = turns.select("source", "content", F.lower("content").alias("lower"))
     flat = [(c, p) for c, ps in lists.items() for p in ps]
-    counted = turns.groupBy("source").agg(*(F.sum((T.count_text if plain else T.count_phrase)(lower, p)).alias(f"p{i}") for i, (_, p) in enumerate(flat)))
-    rows = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(p).alias("phrase"), F.coalesce(f"p{i}", F.lit(0)).cast("long").alias("n")) for i, (c, p) in enumerate(flat)))
-    return counted.select("source", F.explode(rows).alias("r")).select("source", "r.*")
-
-
-def word_totals(turns: DataFrame) -> DataFrame:
-    return turns.groupBy("source").agg(F.sum(T.word_count(F.col("content"))).alias("words"), F.count("*").alias("turns"))
+    counted = rows.groupBy("source").agg(F.sum(T.word_count(F.col("content"))).alias("words"), *(F.sum((T.count_text if plain else T.count_phrase)(F.col("lower"), p)).alias(f"p{i}") for i, (_, p) in enumerate(flat)))
+    each = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(p).alias("phrase"), F.coalesce(f"p{i}", F.lit(0)).cast("long").alias("n")) for i, (c, p) in enumerate(flat)))
+    return counted.select("source", "words", F.explode(each).alias("r")).select("source", "words", "r.*")

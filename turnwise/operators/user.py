@@ -15,13 +15,16 @@ EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x
 
 
 def complexity(turns: DataFrame) -> DataFrame:
-    return said_by(turns, "user").groupBy("source").agg(*describe(T.word_count(F.col("content")), "words"), F.round(F.avg(T.flesch_kincaid(F.col("content"))), 4).alias("fk_mean"))
+    """Words a turn, words a sentence, readability of turns of five words or more."""
+    t = F.col("content")
+    own = said_by(turns, "user").select("source", T.word_count(t).alias("words"), F.size(T.sentences(t)).alias("sentences"), F.when(T.word_count(t) >= 5, T.flesch_kincaid(t)).alias("fk"))
+    return own.groupBy("source").agg(*describe("words", "words"), F.coalesce(F.round(F.try_divide(F.sum("words"), F.sum("sentences")), 4), F.lit(0.0)).alias("sentence_mean"), F.sum("sentences").alias("sentences"), F.round(F.avg("fk"), 4).alias("fk_mean"), F.count("fk").alias("fk_count"))
 
 
 def vocabulary(turns: DataFrame, window: int = 200) -> DataFrame:
     """Word-character tokens with stop words."""
     tokens = F.filter(F.split(F.lower("content"), r"(?U)\W+"), lambda w: w != "")
-    rows = positioned(said_by(turns, "user"), tokens, ["source"], ["conv_id", "turn_idx"])
+    rows = positioned(said_by(turns, "user"), tokens, ["source"])
     return mattr(rows, ["source"], window).select("source", F.col("n").alias("tokens"), "types", F.round("mattr", 4).alias("mattr"))
 
 
@@ -69,11 +72,35 @@ def first_message_kinds(turns: DataFrame) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 4))
 
 
-def rephrase_levels(vectors: DataFrame, key: list[str], order: str, strict: float = 0.85, loose: float = 0.70) -> DataFrame:
-    """Adjacent vectors of a key: ``strict`` above one limit, else ``loose`` above the other."""
-    s = T.cosine(F.lag("vector").over(Window.partitionBy(*key).orderBy(order)), F.col("vector"))
-    rows = vectors.select(*key, s.alias("s")).where("s is not null")
-    return rows.groupBy(*key).agg(F.count_if(F.col("s") > strict).alias("strict"), F.count_if((F.col("s") > loose) & (F.col("s") <= strict)).alias("loose"), F.count("*").alias("pairs"))
+def _similar(vectors: DataFrame, key: list[str], order: str, min_words: int) -> DataFrame:
+    """Similarity of adjacent vectors, and whether both texts (if there are texts) have ``min_words`` words."""
+    w = Window.partitionBy(*key).orderBy(order)
+    s = T.cosine(F.lag("vector").over(w), F.col("vector"))
+    long = F.lit(True)
+    if "content" in vectors.columns:
+        long = (T.word_count(F.col("content")) >= min_words) & (F.lag(T.word_count(F.col("content"))).over(w) >= min_words)
+    return vectors.withColumns({"s": s, "long": long})
+
+
+def rephrase_levels(vectors: DataFrame, key: list[str], order: str, strict: float = 0.85, loose: float = 0.70, min_words: int = 10) -> DataFrame:
+    """Adjacent vectors of a key: ``loose`` above one limit, ``strict`` above the other where both texts are long enough. A strict one is loose too."""
+    rows = _similar(vectors, key, order, min_words).where("s is not null")
+    return rows.groupBy(*key).agg(F.count_if((F.col("s") > strict) & F.col("long")).alias("strict"), F.count_if(F.col("s") > loose).alias("loose"), F.count("*").alias("pairs"))
+
+
+def rephrase_rates(turns: DataFrame, vectors: DataFrame) -> DataFrame:
+    """source, strict and loose totals, per 100 user turns and per conversation, conversations with a strict one."""
+    per = rephrase_levels(vectors, CONV, "turn_idx").groupBy("source").agg(F.sum("strict").alias("strict"), F.sum("loose").alias("loose"), F.count_if(F.col("strict") > 0).alias("conversations_with_strict"))
+    n = vectors.groupBy("source").agg(F.count("*").alias("user_turns")).join(turns.groupBy("source").agg(F.count_distinct("conv_id").alias("conversations")), "source").join(per, "source", "left").na.fill(0)
+    rate = lambda c, d, k: F.round(F.col(c) * k / F.greatest(d, F.lit(1)), 3)
+    return n.select("source", "strict", "loose", rate("strict", "user_turns", 100).alias("strict_per_100"), rate("loose", "user_turns", 100).alias("loose_per_100"), rate("strict", "conversations", 1).alias("strict_per_conv"), rate("loose", "conversations", 1).alias("loose_per_conv"), "user_turns", "conversations", "conversations_with_strict")
+
+
+def most_rephrased(vectors: DataFrame, per_source: int = 5, k: int = 10) -> DataFrame:
+    """rank, source, conv_id, n: conversations with most strict rephrasings, five of each source, then ten of all."""
+    per = rephrase_levels(vectors, CONV, "turn_idx").where("strict > 0").select(*CONV, F.col("strict").alias("n"))
+    own = per.withColumn("own", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "conv_id"))).where(F.col("own") <= per_source)
+    return own.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "source", "conv_id"))).where(F.col("rank") <= k).select("rank", *CONV, "n")  # a few rows
 
 
 def routing(labelled: DataFrame, least: int = 10) -> DataFrame:

@@ -101,7 +101,7 @@ on_turns("tracked_openings", pragmatic.tracked_openings, f" o AS (SELECT source,
 
 # lexical
 on_turns("vocabulary_mattr_500", lexical.vocabulary, f"{tokens_sql(TOKENS, BOT)}{mattr_sql(500)} SELECT source, n AS tokens, types, round(types / n, 4) AS ttr, round(v, 4) AS mattr FROM m")
-on_turns("user_mattr_200", lambda t: S.mattr(positioned(said_by(t, "user"), T.words(F.lower("content")), ["source"], ["conv_id", "turn_idx"]), ["source"], 200).select("source", "n", "types", F.round("mattr", 4).alias("mattr")), f"{tokens_sql(f'''regexp_extract_all(lower(content), '[^{WS}]+')''', USER)}{mattr_sql(200)} SELECT source, n, types, round(v, 4) AS mattr FROM m")
+on_turns("user_mattr_200", lambda t: S.mattr(positioned(said_by(t, "user"), T.words(F.lower("content")), ["source"]), ["source"], 200).select("source", "n", "types", F.round("mattr", 4).alias("mattr")), f"{tokens_sql(f'''regexp_extract_all(lower(content), '[^{WS}]+')''', USER)}{mattr_sql(200)} SELECT source, n, types, round(v, 4) AS mattr FROM m")
 on_turns("word_frequency_top50", lexical.top_words, f" r AS (SELECT source, conv_id, turn_idx, {TOKENS} AS ts {BOT}), k AS (SELECT source, conv_id, turn_idx, unnest(ts) AS word, generate_subscripts(ts, 1) AS i FROM r), c AS (SELECT source, word, count(*) AS n, min((conv_id, turn_idx, i)) AS f FROM k GROUP BY 1, 2) SELECT source, word, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, f, word) AS rank FROM c QUALIFY rank <= 50")
 on_turns("tfidf_distinctive", lexical.distinctive, f""" tf AS (SELECT source, word, count(*) AS tf FROM (SELECT source, unnest({TOKENS}) AS word {BOT}) GROUP BY 1, 2),
   v AS (SELECT word, sum(tf) AS a, count(*) AS df FROM tf GROUP BY 1 ORDER BY a DESC, word LIMIT 10000),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
-from turnwise.sources.turns import finish
+from turnwise.sources.json_files import only_arrays, records
+from turnwise.sources.turns import finish, identity
 
 NODE = "struct<parent:string,message:struct<author:struct<role:string>,create_time:double,content:struct<content_type:string,parts:array<variant>>>>"
 SCHEMA = f"conversation_id string, id string, title string, create_time double, update_time double, current_node string, mapping map<string,{NODE}>"
@@ -32,7 +33,7 @@ def epoch(x: Column) -> Column:
 def parse(raw: DataFrame) -> DataFrame:
     """Turns from rows of SCHEMA; conversations without current node, turns or user turn go."""
     rows = raw.where("mapping is not null and current_node is not null and size(mapping) > 0")
-    nodes = rows.select(F.coalesce("conversation_id", "id", F.lit("")).alias("conversation_id"), "title", epoch(F.col("create_time")).alias("created_at"), epoch(F.col("update_time")).alias("updated_at"), "mapping", F.posexplode(main_thread(F.col("mapping"), F.col("current_node"))).alias("at", "node"))
+    nodes = rows.select(identity("conversation_id", "id").alias("conversation_id"), "title", epoch(F.col("create_time")).alias("created_at"), epoch(F.col("update_time")).alias("updated_at"), "mapping", F.posexplode(main_thread(F.col("mapping"), F.col("current_node"))).alias("at", "node"))
     m = F.element_at("mapping", F.col("node"))["message"]
     strings = F.filter(F.transform(m["content"]["parts"], lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string"))), lambda p: p.isNotNull() & (T.strip(p) != ""))
     content = F.when(m["content"]["content_type"].isin("text", "multimodal_text"), F.array_join(strings, "\n\n"))
@@ -41,4 +42,5 @@ def parse(raw: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``path`` may be a glob of export files; each holds a JSON array."""
-    return parse(spark.read.schema(SCHEMA).json(path, multiLine=True))
+    only_arrays(spark, path)
+    return parse(records(spark, path, SCHEMA))

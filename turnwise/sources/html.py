@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ENTITIES = {"&nbsp;": " ", "&#160;": " ", "&#8239;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
-BLOCKS = "p|div|br|li|ul|ol|tr|table|h[1-6]|pre|blockquote|section|article"
+from turnwise.functions.text import SPACE
+
+BLOCKS = "p|div|br|li|ul|ol|tr|table|h[1-6]|pre|blockquote|section|article|hr"
+
+
+def _sign(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
 
 
 def decoded(t: Column) -> Column:
-    """Named entities of the table above; ``&amp;`` last."""
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), t)
+    """Character references replaced, once: decimal, hexadecimal and named ones (the 252 names of HTML 4 and apos)."""
+    names = F.create_map(*(x for k, v in {**name2codepoint, "apos": 39}.items() for x in (F.lit(k), F.lit(v))))
+    parts = F.split(t, "&")
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        code = F.coalesce(number, F.try_element_at(names, name))
+        ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(ok, F.concat(_sign(code), F.substr(p, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), p))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return F.when(t.contains("&"), F.concat(F.get(parts, 0), F.array_join(rest, ""))).otherwise(t)
 
 
 def text_of(html: Column) -> Column:
@@ -21,7 +37,7 @@ def text_of(html: Column) -> Column:
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     t = decoded(F.regexp_replace(t, r"<[^>]*>", ""))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\x{a0}\x{202f}]+", " "), r" ?\n ?", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, rf"[{SPACE}&&[^\n]]+", " "), r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 

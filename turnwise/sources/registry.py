@@ -27,7 +27,7 @@ def found(spark: SparkSession, raw: str) -> dict[str, str]:
 
 def read_all(spark: SparkSession, raw: str) -> DataFrame | None:
     """Turns of all sources that the folder holds; others are skipped."""
-    frames = [SOURCES[n](spark, p) for n, p in found(spark, raw).items()]
+    frames = [SOURCES[n](spark, p) for n, p in found(spark, raw).items()]  # no canonical file: the source is skipped
     out = frames[0] if frames else None
     for f in frames[1:]:
         out = out.unionByName(f)
