@@ -38,7 +38,7 @@ def binned(df: DataFrame, value: str, bins: int) -> DataFrame:
     rows = df.where(F.col(value).isNotNull()).join(F.broadcast(ends), F.lit(True))
     width = (F.col("high") - F.col("low")) / bins
     b = F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("low"), width)), F.lit(bins - 1)), F.lit(0))
-    n = rows.groupBy("source", F.round(F.col("low") + b * width, 6).alias("x")).agg(F.count("*").alias("n"))
+    n = rows.groupBy("source", F.round(F.col("low") + b * width, 6).cast("decimal(18,6)").alias("x")).agg(F.count("*").alias("n"))
     return xy(n, "source", "x", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
 
 
@@ -86,8 +86,8 @@ def hedging_comparison(turns: DataFrame) -> DataFrame:
 
 
 @chart
-def style_fingerprint(turns: DataFrame) -> DataFrame:
-    return xy(comparative.fingerprint(turns), "source", "metric", "scaled")
+def style_fingerprint(turns: DataFrame, encode=semantic.encode) -> DataFrame:
+    return xy(comparative.fingerprint(turns, encode), "source", "metric", "scaled")
 
 
 @chart
@@ -160,7 +160,7 @@ def resolution_patterns(turns: DataFrame) -> DataFrame:
 def verbosity_trajectory(turns: DataFrame) -> DataFrame:
     """Histogram of 30 bins of the conversations' correlations, for either role."""
     r = structure.pearson_trajectories(turns).where("r is not null")
-    return binned(r.select(F.concat_ws(" ", "source", "role").alias("source"), "r"), "r", 30)
+    return binned(r.select(F.concat_ws(" ", "source", "role").alias("source"), F.round("r", 6).alias("r")), "r", 30)
 
 
 @chart
@@ -183,4 +183,4 @@ def user_rephrasing_rate(turns: DataFrame) -> DataFrame:
 def response_density(turns: DataFrame) -> DataFrame:
     """The curve over ``response_length_distributions``: kernel density at 300 points."""
     w = said_by(turns, "assistant").select("source", T.word_count(F.col("content")).alias("w"))
-    return xy(S.density(w.join(F.broadcast(w.agg(F.percentile("w", 0.95).alias("most"))), F.lit(True)).where("w <= most"), ["source"], "w"), "source", F.round("x", 4), F.col("y") * 1000)
+    return xy(S.density(w.join(F.broadcast(w.agg(F.percentile("w", 0.95).alias("most"))), F.lit(True)).where("w <= most"), ["source"], "w"), "source", F.round("x", 4).cast("decimal(18,4)"), F.col("y") * 1000)

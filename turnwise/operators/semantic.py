@@ -72,13 +72,14 @@ def encode(turns: DataFrame, dim: int = 64, col: str = "content") -> DataFrame:
     def count(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            words = b.column("h").fill_null([]) if b.column("h").null_count else b.column("h")
+            words = b.column("h")
             h = words.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+            row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
             sign = 1.0 - 2.0 * ((h >> 32) % 2)
-            v = np.bincount(row * dim + h % dim, weights=sign, minlength=len(words) * dim)
+            v = np.bincount(row * dim + h % dim, weights=sign, minlength=len(words) * dim).astype(float)
             vector = pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, dim, dtype=np.int32)), pa.array(v))
             yield pa.RecordBatch.from_arrays([b.column("row"), vector], names=["row", "vector"])
 

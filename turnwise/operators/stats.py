@@ -52,9 +52,9 @@ def mattr(tokens: DataFrame, by: list[str], window: int, short: str = "ttr", chu
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """r of each group of ``least`` rows or more; null where a side doesn't vary."""
-    n = F.count("*")
-    varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
-    return df.groupBy(*by).agg(F.when((n >= least) & varies, F.corr(F.col(x).cast("double"), F.col(y).cast("double"))).alias("r"))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # corr() fails on a side that doesn't vary
+    return df.groupBy(*by).agg(F.when(F.count("*") >= least, r).alias("r"))
 
 
 def upper_median(name: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,7 +146,9 @@ def clusters(turns: DataFrame, ks: tuple[int, ...] = (4, 5, 6), seeds: int = 10)
     scaled = rows.coalesce(parts).select(*CONV, array_to_vector(F.array(*((F.col(c) - s[f"{c}_m"]) / (s[f"{c}_s"] or 1.0) for c in FEATURES))).alias("features")).persist()
     found = []
     for k in ks:
-        model = min((KMeans(k=k, seed=seed, maxIter=300, initMode="random").fit(scaled) for seed in range(42, 42 + seeds)), key=lambda m: m.summary.trainingCost)
+        with ThreadPoolExecutor(8) as pool:  # starts are small jobs: they run side by side
+            starts = list(pool.map(lambda seed, k=k: KMeans(k=k, seed=seed, maxIter=300, initMode="random").fit(scaled), range(42, 42 + seeds)))
+        model = min(starts, key=lambda m: m.summary.trainingCost)
         if sum(n > 0 for n in model.summary.clusterSizes) > 1:
             out = model.transform(scaled)
             found.append((ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(out), -k, model, out))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import lexicons as L
 from turnwise.functions import text as T
-from turnwise.operators import comparative, lexical, pragmatic, semantic, structure, temporal, user
+from turnwise.operators import charts, comparative, lexical, pragmatic, semantic, structure, temporal, user
 from turnwise.operators import stats as S
-from turnwise.operators.turns import phrase_counts, positioned, said_by
+from turnwise.operators.features import profile, turn_features
+from turnwise.operators.turns import positioned, said_by
 from turnwise.plans.tables import TURNS_SQL, table, turns
+from turnwise.sinks.tables import parse_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,6 +96,7 @@ on_turns("prompt_patterns", lambda t: pragmatic.categories(t, "user", user.PROMP
 on_turns("question_rate", pragmatic.question_rate, f"SELECT source, round(avg(q), 4) AS mean_per_turn, round(avg((q > 0)::INT), 4) AS share_of_turns, sum(q)::BIGINT AS total, {per_1k_sql('sum(q)', 'sum(w)')} AS per_1k FROM (SELECT source, length(content) - length(replace(content, '?', '')) AS q, {wc} AS w {BOT}) GROUP BY 1")
 on_turns("first_person", pragmatic.first_person, f"SELECT source, i, we, you, {per_1k_sql('i', 'w')} AS i_per_1k, {per_1k_sql('we', 'w')} AS we_per_1k, {per_1k_sql('you', 'w')} AS you_per_1k FROM (SELECT source, sum(len(regexp_extract_all(content, '\\bI\\b')))::BIGINT AS i, sum(len(regexp_extract_all(content, '(?i)\\bwe\\b')))::BIGINT AS we, sum(len(regexp_extract_all(content, '(?i)\\byou\\b')))::BIGINT AS you, sum({wc}) AS w {BOT} GROUP BY 1)")
 _STRIP = "[\\*#>\\-`\"''()]+"
+_STRIP2 = _STRIP.replace("()]", "()\\[\\]]")
 _OP = [f"nullif(regexp_replace(list_extract(regexp_extract_all(content, '[^{WS}]+'), {i}), '^{_STRIP}|{_STRIP}$', '', 'g'), '')" for i in (1, 2)]
 for _n, _name, _e in ((1, "opening_words", _OP[0]), (2, "opening_bigrams", f"{_OP[0]} || ' ' || {_OP[1]}")):
     on_turns(_name, lambda t, n=_n: pragmatic.openings(t, n_words=n), f" o AS (SELECT source, conv_id, turn_idx, {_e} AS opening {BOT}), c AS (SELECT source, opening, count(*) AS n, min((conv_id, turn_idx)) AS f FROM o WHERE opening IS NOT NULL GROUP BY 1, 2) SELECT source, opening, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, f, opening) AS rank FROM c QUALIFY rank <= 15")
@@ -114,23 +117,43 @@ VOWELS = "[aeiouyáéíóúàèìòùâêîôûäëïöü]+"
 FK_SQL = f"0.39 * n / greatest(s, 1) + 11.8 * y / n - 15.59"
 FK_ROWS = f"SELECT *, len(al) AS n, len({SENTENCES}) AS s, list_sum(list_transform(al, lambda x: greatest(1, len(regexp_extract_all(x, '{VOWELS}')) - CASE WHEN regexp_matches(x, '[^aeiouyl]e$') THEN 1 ELSE 0 END))) AS y, len(list_filter(al, lambda x: len(regexp_extract_all(x, '{VOWELS}')) >= 3)) AS hard FROM (SELECT *, {ALPHA} AS al"
 on_turns("readability", lexical.readability, f" a AS ({FK_ROWS} {BOT} AND {wc} >= 5)), b AS (SELECT source, {FK_SQL} AS fk, 0.4 * (n / greatest(s, 1) + 100 * hard / n) AS fog FROM a WHERE n > 0) SELECT source, round(avg(fk), 4) AS fk_mean, round(stddev_pop(fk), 4) AS fk_std, count(fk) AS fk_count, round(avg(fog), 4) AS fog_mean, round(stddev_pop(fog), 4) AS fog_std, count(fog) AS fog_count FROM b GROUP BY 1")
-on_turns("formatting_habits", lexical.formatting)
+FORMAT_SQL = {k: f"len(regexp_extract_all(content, '{v}'))" for k, v in L.FORMATS.items() if k != "italic"}
+#: No look-around in this SQL: runs of two asterisks or more become one other sign, then pairs of single ones are counted.
+FORMAT_SQL["italic"] = "len(regexp_extract_all(regexp_replace(content, '\\*\\*+', chr(1), 'g'), '\\*[^*\\x01]+\\*'))"
+_KINDS = " UNION ALL ".join(f"SELECT source, '{k}' AS kind, {'sum(' + c + ')::BIGINT // 2' if k == 'code_blocks' else 'sum(' + c + ')::BIGINT'} AS n, sum({wc}) AS w {BOT} GROUP BY 1" for k, c in FORMAT_SQL.items())
+on_turns("formatting_habits", lexical.formatting, f" c AS ({_KINDS}) SELECT source, kind, n, {per_1k_sql('n', 'w')} AS per_1k FROM c")
 
 # user
-on_turns("user_complexity", lambda t: said_by(t, "user").groupBy("source").agg(*S.describe(T.word_count(F.col("content")), "words")), f"SELECT source, {describe_sql(wc, 'words')} {USER} GROUP BY 1")
+_UFK = f"SELECT source, {FK_SQL} AS fk FROM ({FK_ROWS} {USER} AND {wc} >= 5)) WHERE n > 0"
+on_turns("user_complexity", user.complexity, f" u AS (SELECT source, {describe_sql(wc, 'words')}, round(sum({wc}) / sum(len({SENTENCES})), 4) AS sentence_mean, sum(len({SENTENCES}))::BIGINT AS sentences {USER} GROUP BY 1), k AS ({_UFK}), a AS (SELECT source, round(avg(fk), 4) AS fk_mean, count(fk) AS fk_count FROM k GROUP BY 1) SELECT u.*, fk_mean, fk_count FROM u JOIN a USING (source)")
+on_turns("user_vocabulary", user.vocabulary, f"{tokens_sql("list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> '')", USER)}{mattr_sql(200)} SELECT source, n AS tokens, types, round(v, 4) AS mattr FROM m")
+on_turns("user_words_top20", lambda t: lexical.top_words(t, "user", 20), f" r AS (SELECT source, conv_id, turn_idx, {TOKENS} AS ts {USER}), k AS (SELECT source, conv_id, turn_idx, unnest(ts) AS word, generate_subscripts(ts, 1) AS i FROM r), c AS (SELECT source, word, count(*) AS n, min((conv_id, turn_idx, i)) AS f FROM k GROUP BY 1, 2) SELECT source, word, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, f, word) AS rank FROM c QUALIFY rank <= 20")
+on_turns("user_distinctive", lambda t: lexical.distinctive(t, "user", 20), ORACLES["tfidf_distinctive"].removeprefix(TURNS_SQL).lstrip(", ").replace("role = 'assistant'", "role = 'user'").replace("rank <= 30", "rank <= 20").join([" ", ""]))
+on_turns("user_questions", lambda t: pragmatic.question_rate(t, "user"), f"SELECT source, round(avg(q), 4) AS mean_per_turn, round(avg((q > 0)::INT), 4) AS share_of_turns, sum(q)::BIGINT AS total, {per_1k_sql('sum(q)', 'sum(w)')} AS per_1k FROM (SELECT source, length(content) - length(replace(content, '?', '')) AS q, {wc} AS w {USER}) GROUP BY 1")
+on_turns("user_sentences", lambda t: lexical.sentence_lengths(t, "user"), f" s AS (SELECT source, unnest({SENTENCES}) AS content {USER}) SELECT source, {describe_sql(wc)} FROM s GROUP BY 1")
 on_turns("casual_markers", user.casual, f"SELECT source, sum(len(regexp_extract_all(content, '(?i)\\b(?:{q(L.CONTRACTIONS)})\\b')))::BIGINT AS contractions, count(*) FILTER ({wc} >= 3 AND content = lower(content)) AS lowercase_only, count(*) FILTER ({wc} >= 3 AND NOT regexp_matches(content, '[.!?,;:]')) AS no_punctuation, sum(len(regexp_extract_all(content, '{user.EMOJI}')))::BIGINT AS emoji, sum(len(regexp_extract_all(content, '{q(L.EMOTICON)}')))::BIGINT AS emoticons, count(*) AS turns, {per_1k_sql(f'''sum(len(regexp_extract_all(content, '(?i)\\b(?:{q(L.CONTRACTIONS)})\\b')))''', f'sum({wc})')} AS contractions_per_1k {USER} GROUP BY 1")
 _S = f"regexp_replace(content, '^[{WS}]+|[{WS}]+$', '', 'g')"
 on_turns("framing", user.framing, f"SELECT source, CASE WHEN regexp_matches({_S}, '(?i)^(?:{L.IMPERATIVES})\\b') THEN 'imperative' WHEN regexp_matches({_S}, '(?i)^(?:{L.REQUESTS})\\b') THEN 'request' ELSE 'other' END AS framing, count(*) AS n {USER} GROUP BY 1, 2")
 on_turns("capitalization", user.capitals, f"SELECT source, u AS upper, l AS letters, round(CASE WHEN l = 0 THEN 0 ELSE u / l END, 4) AS rate FROM (SELECT source, sum(len(regexp_extract_all(content, '\\p{{Lu}}')))::BIGINT AS u, sum(len(regexp_extract_all(content, '\\p{{L}}')))::BIGINT AS l {USER} GROUP BY 1)")
 on_turns("first_message", user.first_message_kinds, f" f AS (SELECT source, conv_id, arg_min(content, turn_idx) AS content FROM turns WHERE role = 'user' GROUP BY 1, 2), k AS (SELECT source, {wc_of(_S)} AS w, CASE WHEN {wc_of(_S)} > 50 OR regexp_matches(lower({_S}), '^(?:{q(L.CONTEXT_OPENERS)})') THEN 'context_dump' WHEN ends_with({_S}, '?') OR regexp_matches({_S}, '(?i)^(?:{L.REQUESTS})\\b') THEN 'question' WHEN regexp_matches({_S}, '(?i)^(?:{L.IMPERATIVES})\\b') THEN 'command' ELSE 'other' END AS kind FROM f WHERE length(content) >= 10) SELECT source, kind, count(*) AS n, round(avg(w), 4) AS mean_words, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 4) AS share FROM k GROUP BY 1, 2")
-on_turns("first_message_openings", lambda t: pragmatic.openings(user.first_messages(t).withColumns({"role": F.lit("user"), "turn_idx": F.lit(0)}), "user", chars=T.DECORATION + "[]", lower=True))
+on_turns("first_message_openings", lambda t: pragmatic.openings(user.first_messages(t).withColumns({"role": F.lit("user"), "turn_idx": F.lit(0)}), "user", chars=T.DECORATION + "[]", lower=True), f" f AS (SELECT source, conv_id, arg_min(content, turn_idx) AS content FROM turns WHERE role = 'user' GROUP BY 1, 2), o AS (SELECT source, conv_id, lower({_OP[0].replace(_STRIP, _STRIP2)}) AS opening FROM f WHERE length(content) >= 10), c AS (SELECT source, opening, count(*) AS n, min(conv_id) AS f FROM o WHERE opening IS NOT NULL GROUP BY 1, 2) SELECT source, opening, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, f, opening) AS rank FROM c QUALIFY rank <= 15")
+
 
 # structure
-SHAPE = f" s AS (SELECT source, conv_id, count(*) AS turns, coalesce(sum({wc}) FILTER (role = 'user'), 0)::BIGINT AS user_words, coalesce(sum({wc}) FILTER (role = 'assistant' AND length(content) >= 10), 0)::BIGINT AS assistant_words, CASE WHEN count(ts) >= 2 THEN date_diff('microsecond', min(ts), max(ts)) / 6e7 END AS minutes FROM turns GROUP BY 1, 2)"
-on_turns("shape_metrics", structure.shape_metrics, f"{SHAPE} SELECT source, {', '.join(describe_sql(c, c) for c in ('turns', 'user_words', 'assistant_words', 'minutes'))} FROM s GROUP BY 1")
+SHAPE = f" s AS (SELECT source, conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns, coalesce(sum({wc}) FILTER (role = 'user'), 0)::BIGINT AS user_words, coalesce(sum({wc}) FILTER (role = 'assistant' AND length(content) >= 10), 0)::BIGINT AS assistant_words, avg({wc}) FILTER (role = 'assistant' AND length(content) >= 10) AS mean_response, CASE WHEN count(ts) >= 2 THEN date_diff('microsecond', min(ts), max(ts)) / 6e7 END AS minutes FROM turns GROUP BY 1, 2)"
 _RANK = "rank() OVER (PARTITION BY conv_id ORDER BY {0}) + (count(*) OVER (PARTITION BY conv_id, {0}) - 1) / 2.0"
+
+
+def rho_sql(name: str, role: str) -> str:
+    """CTEs ending in ``name`` (source, conv_id, rho)."""
+    return f" {name}a AS (SELECT source, conv_id, turn_idx AS x, {wc} AS y FROM turns WHERE role = '{role}' AND length(content) >= 10), {name}d AS (SELECT source, conv_id, ({_RANK.format('x')}) - ({_RANK.format('y')}) AS d FROM {name}a), {name} AS (SELECT source, conv_id, CASE WHEN count(*) >= 3 THEN 1 - 6 * sum(d * d) / (count(*) * (count(*) * count(*) - 1)) END AS rho FROM {name}d GROUP BY 1, 2)"
+
+
+_SHAPES = ["turns", "user_turns", "assistant_turns", "user_words", "assistant_words", "mean_response", "minutes", "verbosity_trajectory", "effort_trajectory"]
+on_turns("shape_metrics", structure.shape_metrics, f"{SHAPE},{rho_sql('v', 'assistant')},{rho_sql('e', 'user')}, z AS (SELECT s.*, v.rho AS verbosity_trajectory, e.rho AS effort_trajectory FROM s LEFT JOIN v ON s.source = v.source AND s.conv_id = v.conv_id LEFT JOIN e ON s.source = e.source AND s.conv_id = e.conv_id) SELECT source, {', '.join(describe_sql(c, c) for c in _SHAPES)} FROM z GROUP BY 1")
 on_turns("verbosity_trajectory", lambda t: structure.trajectories(t).select("source", "conv_id", F.round("rho", 4).alias("rho")), f" a AS (SELECT source, conv_id, turn_idx AS x, {wc} AS y {BOT}), d AS (SELECT source, conv_id, ({_RANK.format('x')}) - ({_RANK.format('y')}) AS d FROM a) SELECT source, conv_id, CASE WHEN count(*) >= 3 THEN round(1 - 6 * sum(d * d) / (count(*) * (count(*) * count(*) - 1)), 4) END AS rho FROM d GROUP BY 1, 2")
-on_turns("pearson_trajectory", lambda t: said_by(t, "assistant").groupBy("source").agg(F.round(F.corr(F.col("turn_idx").cast("double"), T.word_count(F.col("content")).cast("double")), 4).alias("r")), f"SELECT source, round(corr(turn_idx, {wc}), 4) AS r {BOT} GROUP BY 1")
+PEARSON = f" n AS (SELECT source, conv_id, role, row_number() OVER (PARTITION BY source, conv_id, role ORDER BY turn_idx) - 1 AS x, {wc} AS y FROM turns WHERE length(content) >= 10), c AS (SELECT source, conv_id, role, CASE WHEN count(*) >= 3 AND max(y) > min(y) THEN corr(x, y) END AS r FROM n GROUP BY 1, 2, 3)"
+on_turns("pearson_trajectory", lambda t: structure.pearson_trajectories(t).groupBy("source", "role").agg(*S.describe("r")), f"{PEARSON} SELECT source, role, {describe_sql('r')} FROM c GROUP BY 1, 2")
 DEPTH_SQL = f"{PAIRS}, e AS (SELECT source, conv_id, CASE WHEN count(*) FILTER (role = 'user' AND role2 = 'assistant') > 0 THEN count(*) FILTER (role = 'user' AND role2 = 'assistant') ELSE greatest(1, count(*) // 2) END AS pairs, avg({wc}) FILTER (role = 'assistant' AND length(content) >= 10) AS m FROM p GROUP BY 1, 2), d AS (SELECT *, CASE WHEN pairs <= 2 THEN 'quick_exchange' WHEN pairs <= 6 THEN 'short' WHEN pairs <= 20 THEN 'medium' WHEN pairs <= 50 THEN 'deep' ELSE 'marathon' END AS depth FROM e), g AS (SELECT DISTINCT source, unnest(['quick_exchange', 'short', 'medium', 'deep', 'marathon']) AS depth FROM turns) SELECT g.source, g.depth, count(conv_id) AS n, coalesce(round(avg(m), 4), 0) AS mean_response FROM g LEFT JOIN d ON g.source = d.source AND g.depth = d.depth GROUP BY 1, 2"
 on_turns("depth", structure.depths, DEPTH_SQL)
 _HAS = lambda ps: " OR ".join(f"contains(t, '{q(p)}')" for p in ps)
@@ -142,8 +165,16 @@ MONTH = " m AS (SELECT *, strftime(created_at, '%Y-%m') AS month FROM turns WHER
 on_turns("month_activity", temporal.activity, f"{MONTH} SELECT g.month, g.source, count(DISTINCT conv_id) AS convs, count(conv_id) AS turns, coalesce(sum({wc}) FILTER (role = 'assistant'), 0)::BIGINT AS words, count(conv_id) < 20 AS low_confidence FROM g LEFT JOIN m ON g.month = m.month AND g.source = m.source GROUP BY 1, 2")
 on_turns("source_ranges", temporal.ranges, f"{MONTH}, r AS (SELECT source, min(month) AS first_month, max(month) AS last_month FROM m GROUP BY 1) SELECT * FROM r UNION ALL SELECT 'overlap', max(first_month), min(last_month) FROM r HAVING count(*) > 1")
 on_turns("user_trends", temporal.user_trends, f"{MONTH} SELECT g.month, g.source, round(avg({wc}), 1) AS mean_words, round(CASE WHEN count(DISTINCT conv_id) > 0 THEN count(conv_id) / count(DISTINCT conv_id) END, 2) AS per_conv, round(avg(contains(content, '?')::INT), 4) AS question_share FROM g LEFT JOIN m ON g.month = m.month AND g.source = m.source AND role = 'user' GROUP BY 1, 2")
-on_turns("bot_trends", temporal.bot_trends)
 on_turns("bot_mean_words", lambda t: temporal.bot_trends(t).select("month", "source", "mean_words", "mattr"), f"{MONTH}, t AS (SELECT * FROM m WHERE role = 'assistant'),{tokens_sql(f'''list_filter(regexp_extract_all(lower(content), '[^{WS}]+'), lambda x: regexp_full_match(x, '\\p{{L}}+') AND length(x) > 1)''', 'FROM t', 'month, source')}{mattr_sql(500, 'month, source', 'NULL').replace(', g AS', ', gg AS').replace('JOIN g ', 'JOIN gg ').replace('  m AS', '  mm AS')} SELECT g.month, g.source, round(avg({wc}), 1) AS mean_words, round(any_value(mm.v), 4) AS mattr FROM g LEFT JOIN t ON g.month = t.month AND g.source = t.source LEFT JOIN mm ON g.month = mm.month AND g.source = mm.source GROUP BY 1, 2")
+_HEDGES = " + ".join(count_sql(p) for ps in L.HEDGES.values() for p in ps)
+_MARKS = " + ".join(f"{c} // 2" if k == "code_blocks" else c for k, c in FORMAT_SQL.items())
+TRENDS = f"{TURNS_SQL},{MONTH}, t AS (SELECT *, {wc} AS w FROM m WHERE role = 'assistant'), fk AS (SELECT month, source, avg({FK_SQL}) AS fk FROM ({FK_ROWS} FROM t WHERE w >= 5)) WHERE n > 0 GROUP BY 1, 2), n AS (SELECT month, source, sum({_HEDGES}) AS h, sum({_MARKS}) AS k, sum(w) AS w, avg(length(content) - length(replace(content, '?', ''))) AS q FROM t GROUP BY 1, 2), b AS ({ORACLES['bot_mean_words']}) SELECT b.month, b.source, b.mean_words, b.mattr, {per_1k_sql('h', 'w')} AS hedges_per_1k, {per_1k_sql('k', 'w')} AS marks_per_1k, round(q, 4) AS questions, round(fk, 4) AS fk FROM b LEFT JOIN n ON b.month = n.month AND b.source = n.source LEFT JOIN fk ON b.month = fk.month AND b.source = fk.source"
+TRENDS = TRENDS.replace(f"{per_1k_sql('h', 'w')} AS", f"CASE WHEN n.w IS NOT NULL THEN {per_1k_sql('h', 'n.w')} END AS").replace(f"{per_1k_sql('k', 'w')} AS", f"CASE WHEN n.w IS NOT NULL THEN {per_1k_sql('k', 'n.w')} END AS")
+on_turns("bot_trends", temporal.bot_trends)
+ORACLES["bot_trends"] = TRENDS
+_LONG = " UNION ALL ".join(f"SELECT month, source, '{c}' AS metric, {c}::DOUBLE AS value FROM t WHERE {c} IS NOT NULL" for c in charts.BOT_SERIES)
+on_turns("all_inflections", lambda t: temporal.all_inflections(temporal.bot_trends(t), charts.BOT_SERIES))
+ORACLES["all_inflections"] = f"WITH t AS ({TRENDS}), l AS ({_LONG}), z AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY source, metric) AS n, avg(value) OVER b AS mu, stddev_pop(value) OVER b AS sd FROM l WINDOW w AS (PARTITION BY source, metric ORDER BY month), b AS (PARTITION BY source, metric ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), y AS (SELECT source, metric, month, value, round((value - mu) / sd, 2) AS z FROM z WHERE n >= 4 AND rn > 3 AND sd >= 1e-6 AND abs((value - mu) / sd) >= 1.5) SELECT row_number() OVER (ORDER BY abs(z) DESC, source, metric, month) AS rank, * FROM y"
 on_turns("inflections", lambda t: temporal.inflections(temporal.activity(t), "words", 1.0).select("source", "month", "value", "z"), f"{MONTH}, a AS (SELECT g.month, g.source, coalesce(sum({wc}) FILTER (role = 'assistant'), 0)::BIGINT AS value FROM g LEFT JOIN m ON g.month = m.month AND g.source = m.source GROUP BY 1, 2), z AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY source) AS n, avg(value) OVER b AS mu, stddev_pop(value) OVER b AS sd FROM a WINDOW w AS (PARTITION BY source ORDER BY month), b AS (PARTITION BY source ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT source, month, value, round((value - mu) / sd, 2) AS z FROM z WHERE n >= 4 AND rn > 3 AND sd >= 1e-6 AND abs((value - mu) / sd) >= 1.0")
 
 # semantic and comparative
@@ -152,10 +183,68 @@ on_turns("sentiment", lambda t: semantic.sentiment_by_source(t, **_LISTS), f"""
   v AS (SELECT source, conv_id, turn_idx, trim(w, '.,!?;:"''()-[]{{}}#') AS hit, coalesce(max((trim(w, '.,!?;:''"') IN ('and', 'que', 'die'))::INT) OVER (PARTITION BY source, conv_id, turn_idx ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS no FROM k),
   s AS (SELECT source, conv_id, turn_idx, coalesce(avg(CASE WHEN hit IN ('the', 'la', 'und') THEN 1.0 WHEN hit IN ('of', 'de', 'der') THEN -1.0 END * CASE WHEN no = 1 THEN -0.5 ELSE 1 END), 0) AS score FROM v GROUP BY 1, 2, 3)
   SELECT source, round(avg(score), 4) AS mean, round(avg((score > 0.1)::INT), 4) AS positive, round(avg((score < -0.1)::INT), 4) AS negative, round(avg((score BETWEEN -0.1 AND 0.1)::INT), 4) AS neutral FROM s GROUP BY 1""")
-on_turns("style_fingerprint", comparative.fingerprint)
-on_turns("summary_table", comparative.summary)
+on_turns("sentiment_words", semantic.sentiment_by_source)
+_IN = lambda ws: "(" + ", ".join(f"'{q(w)}'" for w in ws) + ")"
+ORACLES["sentiment_words"] = ORACLES["sentiment"].replace("('and', 'que', 'die')", _IN(L.NEGATORS)).replace("('the', 'la', 'und')", _IN(L.POSITIVE)).replace("('of', 'de', 'der')", _IN(L.NEGATIVE))
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letters(df: DataFrame, col: str = "content") -> DataFrame:
+    """Adds ``vector``: the counts of 26 letters, an encoder that SQL can restate."""
+    low = F.lower(col)
+    return df.withColumn("vector", F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS)))
+
+
+VECTOR = "[" + ", ".join(f"(length(lower(content)) - length(replace(lower(content), '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+ALIKE = f"e AS (SELECT source, conv_id, turn_idx, {VECTOR} AS v {BOT}), sim AS (SELECT a.source, avg(list_cosine_similarity(a.v, b.v)) AS s, stddev_pop(list_cosine_similarity(a.v, b.v)) AS sd FROM e a JOIN e b ON a.source = b.source AND (a.conv_id, a.turn_idx) < (b.conv_id, b.turn_idx) GROUP BY 1)"
+on_turns("turn_self_similarity", lambda t: S.self_similarity(letters(said_by(t, "assistant")), ["source"], "vector"), f" {ALIKE}, n AS (SELECT source, count(*) AS n FROM e GROUP BY 1) SELECT n.source, n, round(s, 4) AS mean, round(sd, 4) AS std FROM n JOIN sim USING (source)")
+_C = {"hedges": _HEDGES, "uncertain": " + ".join(count_sql(p) for p in L.HEDGES["uncertainty"]), "disclaimers": " + ".join(count_sql(p) for ps in L.DISCLAIMERS.values() for p in ps), "i": "len(regexp_extract_all(content, '\\bI\\b'))", "you": "len(regexp_extract_all(content, '(?i)\\byou\\b'))", "questions": "length(content) - length(replace(content, '?', ''))", "sentences": f"len({SENTENCES})", **{f"f_{k}": c for k, c in FORMAT_SQL.items()}}
+_R = {k: per_1k_sql(f"sum({k})", "sum(n)") for k in _C} | {"f_code_blocks": per_1k_sql("sum(f_code_blocks) // 2", "sum(n)")}
+PROFILE = f""" x AS (SELECT *, {wc} AS w, lead(role) OVER c AS role2, lead({wc}) OVER c AS w2, lead(length(content)) OVER c AS ch2, count(*) OVER (PARTITION BY source, conv_id) AS inc, row_number() OVER c AS nth FROM turns WINDOW c AS (PARTITION BY source, conv_id ORDER BY turn_idx)),
+  us AS (SELECT source, conv_id, count(*) FILTER (role = 'user') AS us FROM turns GROUP BY 1, 2),
+  y AS (SELECT x.*, us, CASE WHEN role = 'user' AND role2 = 'assistant' AND w >= 5 AND ch2 >= 10 THEN w2 / w END AS ratio, CASE WHEN role = 'assistant' AND length(content) >= 10 THEN w END AS n, CASE WHEN nth = 1 THEN inc END AS pc, {', '.join(f"CASE WHEN role = 'assistant' AND length(content) >= 10 THEN {c} END AS {k}" for k, c in _C.items())} FROM x JOIN us ON x.source = us.source AND x.conv_id = us.conv_id),
+  rd AS (SELECT source, fk_mean, fog_mean FROM ({ORACLES['readability']})),
+  pr AS (SELECT source, count(n) AS assistant_turns, sum(n)::BIGINT AS assistant_words, count(pc) AS conversations, round(avg(n), 4) AS response_words, round(quantile_cont(n, 0.5), 4) AS response_median, round(sum(n) / sum(sentences), 4) AS sentence_words,
+    round({' + '.join(_R[f'f_{k}'] for k in FORMAT_SQL)}, 4) AS formatting, {_R['f_bold']} AS bold, {_R['f_code_blocks']} AS code_blocks, {_R['hedges']} AS hedge_density, {_R['uncertain']} AS uncertainty, round(avg(questions), 4) AS questions, round(round(avg((questions > 0)::INT), 4) * 100, 1) AS question_share,
+    {_R['disclaimers']} AS disclaimers, round(quantile_cont(ratio, 0.5), 4) AS verbosity, round(avg(ratio), 4) AS verbosity_mean, {_R['i']} AS first_person_i, {_R['you']} AS you, round(quantile_cont(pc, 0.5), 4) AS turns_median, round(count(*) FILTER (nth = 1 AND us = 1) / count(pc), 4) AS single_share FROM y GROUP BY 1),
+  prof AS (SELECT pr.*, fk_mean AS fk, fog_mean AS fog FROM pr JOIN rd USING (source))"""
+on_turns("source_profile", lambda t: profile(turn_features(t)), f"{PROFILE} SELECT * FROM prof")
+METRICS = f"{PROFILE}, {ALIKE}, voc AS ({ORACLES['vocabulary_mattr_500']}), mood AS ({ORACLES['sentiment_words']}), mets AS (SELECT prof.*, voc.mattr, voc.types::DOUBLE AS types, round(sim.s, 4) AS self_similarity, mood.mean AS sentiment FROM prof JOIN voc USING (source) JOIN sim USING (source) JOIN mood USING (source))"
+_FP = " UNION ALL ".join(f"SELECT source, '{k}' AS metric, {k}::DOUBLE AS raw FROM mets" for k in comparative.FINGERPRINT)
+on_turns("style_fingerprint", lambda t: comparative.fingerprint(t, letters), f"{METRICS}, f AS ({_FP}) SELECT source, metric, raw, round(coalesce((raw - min(raw) OVER p) / nullif(max(raw) OVER p - min(raw) OVER p, 0), 0.5), 4) AS scaled FROM f WINDOW p AS (PARTITION BY metric)")
+_SUM = " UNION ALL ".join(f"SELECT {i}::INT AS nth, '{q(name)}' AS metric, '{side or ''}' AS side, '{q(says or '')}' AS says, source, {k}::DOUBLE AS value FROM mets" for i, (k, name, side, says) in enumerate(comparative.ROWS))
+on_turns("summary_table", lambda t: comparative.summary(t, letters), f"{METRICS}, f AS ({_SUM}), g AS (SELECT *, first_value(source) OVER (PARTITION BY nth ORDER BY value DESC, source DESC) AS most, first_value(source) OVER (PARTITION BY nth ORDER BY value, source) AS least, max(value) FILTER (source = 'chatgpt') OVER (PARTITION BY nth) AS v0, max(value) FILTER (source = 'claude') OVER (PARTITION BY nth) AS v1 FROM f) SELECT nth, metric, source, value, NULL::DOUBLE AS delta, CASE WHEN side = 'fk' AND abs(v0 - v1) < 1 THEN 'Similar' WHEN side = 'most' THEN upper(most[1]) || most[2:] || ': ' || says WHEN side IN ('least', 'fk') THEN upper(least[1]) || least[2:] || ': ' || says ELSE '' END AS note FROM g")
 on_turns("topics", lambda t: semantic.topics(t).select("source", "conv_id", "turn_idx", "topic"))
-on_turns("parse_summary", lambda t: t.rollup("source").agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(F.col("role") == "assistant").alias("assistant_turns"), F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last")).select(F.coalesce("source", F.lit("all")).alias("source"), "conversations", "turns", "user_turns", "assistant_turns", "first", "last"), "SELECT coalesce(source, 'all') AS source, count(DISTINCT conv_id) AS conversations, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns, strftime(min(created_at), '%Y-%m-%d') AS first, strftime(max(created_at), '%Y-%m-%d') AS last FROM turns GROUP BY ROLLUP (source)")
+
+# topics that a rule gives, so that SQL can follow
+def by_rule(t: DataFrame) -> DataFrame:
+    """Assistant turns with a topic from their conversation's number: -1 to 3."""
+    return said_by(t, "assistant").withColumn("topic", (F.col("conv_id") % 5 - 1).cast("int"))
+
+
+RULED = f" l AS (SELECT *, (conv_id % 5 - 1)::INT AS topic {BOT})"
+TOPIC_WORDS = f"tf AS (SELECT topic, word, count(*) AS tf FROM (SELECT topic, unnest({TOKENS}) AS word FROM l WHERE topic <> -1) GROUP BY 1, 2), sz AS (SELECT topic, sum(tf) AS size FROM tf GROUP BY 1), al AS (SELECT word, sum(tf) AS a FROM tf GROUP BY 1), sc AS (SELECT topic, word, tf / size * ln(1 + (SELECT avg(size) FROM sz) / a) AS score FROM tf JOIN sz USING (topic) JOIN al USING (word)), tw AS (SELECT topic, word, round(score, 4) AS score, row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, word) AS rank FROM sc QUALIFY rank <= 10)"
+on_turns("topic_words", lambda t: semantic.topic_words(by_rule(t), lexical.content_tokens()), f"{RULED}, {TOPIC_WORDS} SELECT * FROM tw")
+on_turns("topic_table", lambda t: semantic.topic_table(by_rule(t), semantic.topic_words(by_rule(t), lexical.content_tokens())).select("topic", "count", F.array_join("words", " ").alias("words"), F.array_join(F.transform(F.array_sort(F.map_entries("shares")), lambda e: F.concat_ws(":", e["key"], F.round(e["value"] * 10000).cast("long").cast("string"))), " ").alias("shares")), f"{RULED}, {TOPIC_WORDS}, n AS (SELECT topic, source, count(*) AS n, sum(count(*)) OVER (PARTITION BY topic) AS size FROM l WHERE topic <> -1 GROUP BY 1, 2), p AS (SELECT topic, sum(n)::BIGINT AS count, string_agg(source || ':' || round(round(n / size, 4) * 10000)::BIGINT, ' ' ORDER BY source) AS shares FROM n GROUP BY 1), b AS (SELECT topic, string_agg(word, ' ' ORDER BY rank) AS words FROM tw GROUP BY 1) SELECT p.topic, count, words, shares FROM p LEFT JOIN b USING (topic)")
+on_turns("topic_distribution", lambda t: semantic.topic_distribution(by_rule(t)), f"{RULED} SELECT source, CASE WHEN topic = -1 THEN 'outlier' ELSE topic::VARCHAR END AS topic, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 3) AS share FROM l GROUP BY 1, 2")
+on_turns("topic_counts", lambda t: semantic.topic_counts(by_rule(t)), f"{RULED} SELECT count(DISTINCT topic) FILTER (topic <> -1) AS n_topics, count(*) FILTER (topic = -1) AS n_outliers, count(*) AS n_documents FROM l")
+on_turns("topic_shifts", lambda t: temporal.topic_shifts(by_rule(t)), f"{RULED} SELECT strftime(created_at, '%Y-%m') AS month, topic, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY strftime(created_at, '%Y-%m')), 4) AS share FROM l WHERE topic <> -1 GROUP BY 1, 2")
+_TOPICAL = ["good", "problem", "answer", "of"]
+_HOLDS = lambda c: " OR ".join(f"contains(lower({c}), '{w}')" for w in _TOPICAL if len(w) > 2)
+CONTROLLED = f"{PAIRS}, b AS (SELECT *, {wc} AS w {BOT} AND ({_HOLDS('content')})), r AS (SELECT source, {wc_of('content2')} / {wc} AS ratio FROM p WHERE role = 'user' AND role2 = 'assistant' AND {wc} >= 5 AND length(content2) >= 10 AND ({_HOLDS('content2')})), e AS (SELECT source, conv_id, turn_idx, {VECTOR} AS v FROM b), sm AS (SELECT x.source, avg(list_cosine_similarity(x.v, y.v)) AS s FROM e x JOIN e y ON x.source = y.source AND (x.conv_id, x.turn_idx) < (y.conv_id, y.turn_idx) GROUP BY 1), o AS (SELECT source, count(*)::DOUBLE AS n_turns, round(avg(w), 2) AS response_length, round({per_1k_sql(f'sum({_HEDGES})', 'sum(w)')}, 3) AS hedge_density FROM b GROUP BY 1), q AS (SELECT source, round(avg(ratio), 2) AS verbosity_mean, round(list_sort(list(ratio))[count(*) // 2 + 1], 2) AS verbosity_median FROM r GROUP BY 1), w AS (SELECT d.source, coalesce(n_turns, 0) AS n_turns, coalesce(response_length, 0) AS response_length, coalesce(hedge_density, 0) AS hedge_density, coalesce(verbosity_mean, 0) AS verbosity_mean, coalesce(verbosity_median, 0) AS verbosity_median, CASE WHEN n_turns >= 10 THEN round(s, 4) ELSE 0 END AS self_similarity FROM (SELECT DISTINCT source FROM turns) d LEFT JOIN o USING (source) LEFT JOIN q USING (source) LEFT JOIN sm USING (source))"
+on_turns("topic_controlled", lambda t: comparative.topic_controlled(t, 1, _TOPICAL, letters), f"{CONTROLLED} SELECT source, metric, value FROM (UNPIVOT w ON n_turns, response_length, hedge_density, verbosity_mean, verbosity_median, self_similarity INTO NAME metric VALUE value)")
+
+# rephrasing, with letters for vectors
+UV = f" u AS (SELECT *, {VECTOR} AS v {USER}), a AS (SELECT *, lag(v) OVER c AS v0, lag(turn_idx) OVER c AS t0, lag(content) OVER c AS c0 FROM u WINDOW c AS (PARTITION BY source, conv_id ORDER BY turn_idx)), s AS (SELECT *, list_cosine_similarity(v0, v) AS s FROM a WHERE v0 IS NOT NULL)"
+uv = lambda t: letters(said_by(t, "user"))
+_NC = "(SELECT source, count(DISTINCT conv_id) AS nc FROM turns GROUP BY 1)"
+on_turns("rephrase_report", lambda t: structure.rephrase_report(t, uv(t), 0.9), f"{UV}, f AS (SELECT source, count(*) AS total, count(DISTINCT conv_id) AS cs FROM s WHERE s >= 0.9 AND turn_idx - t0 >= 2 GROUP BY 1), n AS (SELECT source, count(*) AS nu FROM u GROUP BY 1) SELECT n.source, coalesce(total, 0) AS total, round(coalesce(total, 0) * 100 / nu, 2) AS per_100_turns, coalesce(cs, 0) AS conversations, round(coalesce(total, 0) / nc, 3) AS per_conversation, nu AS n_user_turns, nc AS n_conversations FROM n JOIN {_NC} x USING (source) LEFT JOIN f USING (source)")
+on_turns("rephrase_examples", lambda t: structure.rephrase_examples(uv(t), at_least=0.9), f"{UV} SELECT source, row_number() OVER (PARTITION BY source ORDER BY round(s, 4) DESC, conv_id, turn_idx) AS rank, conv_id, turn_idx, substring(c0, 1, 200) AS before, substring(content, 1, 200) AS after, round(s, 4) AS similarity FROM s WHERE s >= 0.9 AND turn_idx - t0 >= 2 QUALIFY rank <= 5")
+_LV = f"{UV}, k AS (SELECT source, conv_id, count(*) FILTER (s > 0.85 AND {wc_of('content')} >= 10 AND {wc_of('c0')} >= 10) AS st, count(*) FILTER (s > 0.7) AS lo FROM s GROUP BY 1, 2)"
+on_turns("rephrase_rates", lambda t: user.rephrase_rates(t, uv(t)), f"{_LV}, p AS (SELECT source, sum(st)::BIGINT AS strict, sum(lo)::BIGINT AS loose, count(*) FILTER (st > 0) AS cs FROM k GROUP BY 1), n AS (SELECT source, count(*) AS nu FROM u GROUP BY 1) SELECT n.source, strict, loose, round(strict * 100 / nu, 3) AS strict_per_100, round(loose * 100 / nu, 3) AS loose_per_100, round(strict / nc, 3) AS strict_per_conv, round(loose / nc, 3) AS loose_per_conv, nu AS user_turns, nc AS conversations, cs AS conversations_with_strict FROM n JOIN {_NC} x USING (source) JOIN p USING (source)")
+on_turns("most_rephrased", lambda t: user.most_rephrased(uv(t)), f"{_LV}, o AS (SELECT source, conv_id, st AS n FROM k WHERE st > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY st DESC, conv_id) <= 5) SELECT row_number() OVER (ORDER BY n DESC, source, conv_id) AS rank, * FROM o QUALIFY rank <= 10")
+
+on_turns("parse_summary", parse_summary, "SELECT coalesce(source, 'all') AS source, count(DISTINCT conv_id) AS conversations, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns, strftime(min(created_at), '%Y-%m-%d') AS first, strftime(max(created_at), '%Y-%m-%d') AS last FROM turns GROUP BY ROLLUP (source)")
 
 
 def _on(name: str, sql: str | None = None):
@@ -184,18 +273,26 @@ def self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.self_similarity(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
 
 
-_ADJ = f"WITH a AS (SELECT *, lag(vec_id) OVER w AS p FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)), s AS (SELECT a.label, a.vec_id, {_COS} AS s, a.vec_id - b.vec_id AS gap FROM a JOIN embeddings b ON a.p = b.vec_id)"
+#: Vectors drawn towards that of the first of five, by a share from their number, so that neighbours are alike to all degrees.
+_MIXED = "mixed AS (SELECT a.label, a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE + z[2]::DOUBLE * (a.vec_id % 4)) AS embedding FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 5)"
+_ADJ = f"WITH {_MIXED}, a AS (SELECT *, lag(vec_id) OVER w AS p FROM mixed WINDOW w AS (PARTITION BY vec_id // 50 ORDER BY vec_id)), s AS (SELECT a.vec_id // 50 AS grp, a.vec_id, {_COS} AS s, a.vec_id - b.vec_id AS gap FROM a JOIN mixed b ON a.p = b.vec_id)"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    lead = rows.select(F.col("vec_id").alias("lead"), F.col("embedding").alias("towards"))
+    mix = F.zip_with("embedding", "towards", lambda x, y: x.cast("double") + y.cast("double") * (F.col("vec_id") % 4))
+    return rows.withColumn("lead", F.col("vec_id") - F.col("vec_id") % 5).join(lead, "lead").select(F.expr("vec_id div 50").alias("grp"), "vec_id", mix.alias("vector"))
 
 
-@_on("rephrase_060", f"{_ADJ} SELECT label, vec_id, round(s, 4) AS similarity FROM s WHERE s >= 0.6 AND gap >= 2")
+@_on("rephrase_060", f"{_ADJ} SELECT grp, vec_id, round(s, 4) AS similarity FROM s WHERE s >= 0.6 AND gap >= 1")
 def rephrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("vector"))
-    return structure.rephrasings(rows, ["label"], "vec_id").select("label", "vec_id", F.round("similarity", 4).alias("similarity"))
+    return structure.rephrasings(_mixed(spark, sf_dir), ["grp"], "vec_id", 1).select("grp", "vec_id", F.round("similarity", 4).alias("similarity"))
 
 
-@_on("rephrase_strict_loose", f"{_ADJ} SELECT label, count(*) FILTER (s > 0.85) AS strict, count(*) FILTER (s > 0.7 AND s <= 0.85) AS loose, count(*) AS pairs FROM s GROUP BY 1")
+@_on("rephrase_strict_loose", f"{_ADJ} SELECT grp, count(*) FILTER (s > 0.85) AS strict, count(*) FILTER (s > 0.7) AS loose, count(*) AS pairs FROM s GROUP BY 1")
 def rephrase_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return user.rephrase_levels(table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("vector")), ["label"], "vec_id")
+    return user.rephrase_levels(_mixed(spark, sf_dir), ["grp"], "vec_id")
 
 
 _LAB = "WITH t AS (SELECT label AS topic, CASE vec_id % 3 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' ELSE 'gemini' END AS source FROM embeddings), n AS (SELECT topic, source, count(*) AS n, sum(count(*)) OVER (PARTITION BY topic) AS size FROM t GROUP BY 1, 2)"
@@ -222,9 +319,12 @@ def topic_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_on("length_histogram", f"WITH w AS (SELECT lang, {wc_of('text')} AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT quantile_cont(w, 0.95) AS hi FROM w) SELECT lang, least(floor(w / (hi / 60)), 59)::BIGINT AS bin, count(*) AS n FROM w, p WHERE w BETWEEN 0 AND hi GROUP BY 1, 2")
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "documents").where("text is not null").select("lang", T.word_count(F.col("text")).alias("w"))
-    high = w.agg(F.percentile("w", 0.95)).first()[0]
-    return S.histogram(w, ["lang"], "w", 60, 0.0, float(high or 1.0))
+    """One pass over the texts gives a small table of word numbers; its 95th percentile and the bins come from that."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    w = docs.groupBy("lang", T.word_count(F.col("text")).alias("w")).agg(F.count("*").alias("k"))
+    high = w.agg(F.percentile("w", 0.95, F.col("k")).alias("hi"))
+    low = F.least(F.floor(F.coalesce(F.try_divide(F.col("w"), F.col("hi") / 60), F.lit(0))), F.lit(59)).cast("long")
+    return w.join(F.broadcast(high), F.lit(True)).where("w <= hi").groupBy("lang", low.alias("bin")).agg(F.sum("k").alias("n"))
 
 
 @_on("html_text")
@@ -234,11 +334,14 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text_of(F.col("html")).alias("text"))
 
 
-@_on("thread_walk", "WITH m AS (SELECT conv_id, max(turn) AS leaf FROM conversations WHERE turn % 7 <> 6 GROUP BY 1) SELECT c.conv_id, count(*) AS nodes, sum(c.turn)::BIGINT AS checksum FROM conversations c JOIN m ON c.conv_id = m.conv_id AND c.turn <= m.leaf GROUP BY 1")
+@_on("thread_walk", "SELECT conv_id, count(*) AS nodes, sum(turn)::BIGINT AS checksum FROM conversations GROUP BY 1")
 def thread_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn is a node under the turn before; the walk starts at the last turn that isn't 6 mod 7."""
+    """Each turn is a node under the turn before and has an abandoned branch beside it; the walk starts at the last turn and sees no branch."""
     from turnwise.sources.chatgpt import main_thread
 
-    nodes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), F.struct(F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent"))))).alias("mapping"), F.max(F.when(F.col("turn") % 7 != 6, F.col("turn"))).cast("string").alias("leaf")).where("leaf is not null")
-    path = nodes.select("conv_id", main_thread(F.col("mapping"), F.col("leaf")).alias("path"))
+    key = F.col("turn").cast("string")
+    node = F.struct(key, F.struct(F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent")))
+    branch = F.struct(F.concat(key, F.lit("x")), F.struct(key.alias("parent")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.flatten(F.collect_list(F.array(node, branch)))).alias("mapping"), F.max("turn").cast("string").alias("leaf"))
+    path = rows.select("conv_id", main_thread(F.col("mapping"), F.col("leaf")).alias("path"))
     return path.select("conv_id", F.size("path").cast("long").alias("nodes"), F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s + x.cast("long")).alias("checksum"))

@@ -32,8 +32,8 @@ def epoch(x: Column) -> Column:
 
 def parse(raw: DataFrame) -> DataFrame:
     """Turns from rows of SCHEMA; conversations without current node, turns or user turn go."""
-    rows = raw.where("mapping is not null and current_node is not null and size(mapping) > 0")
-    nodes = rows.select(identity("conversation_id", "id").alias("conversation_id"), "title", epoch(F.col("create_time")).alias("created_at"), epoch(F.col("update_time")).alias("updated_at"), "mapping", F.posexplode(main_thread(F.col("mapping"), F.col("current_node"))).alias("at", "node"))
+    rows = raw.withColumn("own_id", identity("conversation_id", "id")).where("mapping is not null and current_node is not null and size(mapping) > 0")
+    nodes = rows.select(F.col("own_id").alias("conversation_id"), "title", epoch(F.col("create_time")).alias("created_at"), epoch(F.col("update_time")).alias("updated_at"), "mapping", F.posexplode(main_thread(F.col("mapping"), F.col("current_node"))).alias("at", "node"))
     m = F.element_at("mapping", F.col("node"))["message"]
     strings = F.filter(F.transform(m["content"]["parts"], lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string"))), lambda p: p.isNotNull() & (T.strip(p) != ""))
     content = F.when(m["content"]["content_type"].isin("text", "multimodal_text"), F.array_join(strings, "\n\n"))

@@ -18,7 +18,8 @@ def instant(x: Column) -> Column:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    rows = raw.select(F.lit("claude").alias("source"), identity("uuid").alias("conversation_id"), F.col("name").alias("title"), instant(F.col("created_at")).alias("created_at"), instant(F.col("updated_at")).alias("updated_at"), F.posexplode("chat_messages").alias("at", "m"))
+    own = raw.withColumn("own_id", identity("uuid"))  # before messages become rows of their own
+    rows = own.select(F.lit("claude").alias("source"), F.col("own_id").alias("conversation_id"), F.col("name").alias("title"), instant(F.col("created_at")).alias("created_at"), instant(F.col("updated_at")).alias("updated_at"), F.posexplode("chat_messages").alias("at", "m"))
     role = F.when(F.col("m.sender") == "human", "user").when(F.col("m.sender") == "assistant", "assistant")
     blocks = F.filter(F.transform(F.filter("m.content", lambda b: b["type"] == "text"), lambda b: b["text"]), lambda t: t.isNotNull() & (t != ""))
     joined = F.array_join(blocks, "\n\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt_record"
 
@@ -32,4 +33,5 @@ def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def broken(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(file, record) of what ``records`` left out: to be kept aside and looked at."""
     raw = spark.read.schema(f"{schema}, {CORRUPT} string").json(path, multiLine=True, columnNameOfCorruptRecord=CORRUPT)
-    return raw.where(f"{CORRUPT} is not null").selectExpr("input_file_name() as file", f"{CORRUPT} as record")
+    raw = raw.withColumn("file", F.input_file_name()).persist()  # Spark won't read the bad record alone
+    return raw.where(f"{CORRUPT} is not null").selectExpr("file", f"{CORRUPT} as record")
