@@ -89,6 +89,52 @@ def test_cascade_is_exact(spark):
     assert len(c.levels) > 1 and keys.where(c.contains(F.col("key")) != listed).count() == 0
 
 
+@pytest.mark.parametrize("most", [1024, 1 << 26])
+def test_filters_in_shares_are_exact(spark, most):
+    keys = spark.range(3000).select(F.col("id").cast("string").alias("key")).cache()
+    listed = F.col("key").cast("long") % 7 == 0
+    f = op3_urls.Filters(keys, listed, most=most)
+    assert (f.n > 1) == (most == 1024) and keys.where(f.contains(F.col("key")) != listed).count() == 0
+    assert op3_urls.Filters(keys, F.lit(False), most=most).n == 1
+
+
+def test_table_of_hosts(spark):
+    pages = spark.createDataFrame([(1, "http://a.Bad.org/x"), (2, "http://fine.org/"), (3, "http://worse.com"), (4, None)], "page_id long, url string")
+    table = spark.createDataFrame([("bad.ORG",), ("worse.com",), (None,), ("bad.org",)], "host string")
+    assert {r.page_id: r.verdict for r in op3_urls.judge(pages, listed_hosts=table).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
+def test_language_by_brute_force(docs):
+    """Ranks and out-of-place distances from the definition, character by character."""
+
+    def ranks(text):
+        n = collections.Counter()
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            p = f" {w} "
+            n.update(p[i : i + k] for k in (1, 2, 3) for i in range(len(p) - k + 1) if p[i : i + k].strip() and (k < 3 or p[i + 1] != " "))
+        key = lambda s: sum(ord(c) << (21 * (len(s) - 1 - i)) for i, c in enumerate(s))
+        return sorted(n, key=lambda s: (-n[s], key(s)))[: op2_langid.PROFILE], n
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    profiles = {}
+    for lang in ("en", "fr"):
+        total = collections.Counter()
+        for i, t in enumerate(texts()):
+            if t and not held(i) and ("fr" if "chat" in t and "fox" not in t else "en") == lang:
+                total += ranks(t)[1]
+        key = lambda s: sum(ord(c) << (21 * (len(s) - 1 - i)) for i, c in enumerate(s))
+        profiles[lang] = {g: r for r, g in enumerate(sorted(total, key=lambda s: (-total[s], key(s)))[: op2_langid.PROFILE])}
+    for i, r in by_id(op2_langid.language_id(docs)).items():
+        own = ranks(texts()[i])[0]
+        assert r.held_out == held(i)
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        far = {k: sum(abs(p[g] - j) if g in p else op2_langid.PROFILE for j, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert r.lang_pred == best and abs(r.score - (1 - far[best] / (op2_langid.PROFILE * len(own)))) < 1e-12
+
+
 def test_lm_base(docs):
     got = by_id(op4_lm.lm_scores(docs, PATH("byte_bpe_50k.tiktoken"), hot_words=20))
     c, ends = collections.Counter(), 0
@@ -436,6 +482,26 @@ def test_toxicity(docs, labels):
     assert op9_toxicity.train([(1, "a", 1), (2, "b", 1)]) == 1.0 and op9_toxicity.train([]) == 0.0
 
 
+def test_toxicity_takes_the_highest_window(docs, labels):
+    """Windows scored one by one, as texts of their own, give the text's score."""
+    model = op9_toxicity.fit(docs, labels)
+    long = " ".join(f"{EN} x{i} {'scum loser' if i == 7 else ''}" for i in range(12))
+    for t in (None, "", EN, long):
+        words = op9_toxicity.words_of(t)
+        tops = [float(np.max(model.window_logits([words[s : s + op9_toxicity.WINDOW]])[0])) for s in op9_toxicity.starts(len(words))]
+        want = 1 / (1 + np.exp(-(model.slope * max(tops) + model.shift)))
+        assert abs(model.scores([t])[0] - want) < 1e-4
+
+
+def test_quality_verdict_is_the_list(docs, labels):
+    """The verdict of every row, from its statistics and the learned terms in plain Python."""
+    rules = [[("symbols_per_char", True, 0.05)], [("chars_per_word", True, 4.0), ("repeats_per_word", True, 0.01)]]
+    for r in op1_quality.judge(docs, rules).collect():
+        f = {"symbols_per_char": r.n_symbols / max(1, r.word_chars), "chars_per_word": r.word_chars / max(1, r.n_words), "repeats_per_word": r.n_repeat_words / max(1, r.n_words)}
+        hit = any(all(f[k] >= t if up else f[k] <= t for k, up, t in terms) for terms in rules)
+        assert r.kept == (not r.base_failed and not hit)
+
+
 def test_gru_gradients():
     net = op9_toxicity.Network.fresh(np.zeros(5, np.float32))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

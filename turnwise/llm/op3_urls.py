@@ -6,11 +6,14 @@ at level 1; listed keys that level 1 wrongly accepts at level 2, and so on until
 level errs. The first level that rejects a key decides by its parity, so that
 membership is exact for every key of the universe, without a join.
 
-A filter's size follows the listed keys, not the corpus; ``MAX_BITS`` bounds it.
+A filter's size follows the listed keys, not the corpus. Where a level would be over
+``MAX_BITS``, keys are shared out by hash to several cascades.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no
 rule; a key outside the universe can't be asked, as the universe holds all keys of
-all rows; repeated rows are judged alike; equally long rules go by text.
+all rows; repeated rows and rows without page_id are judged like others; equally long
+rules go by text; a very long url is one key for each of its host's labels and rule
+paths; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +43,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def bits_for(n: int, rate: float) -> int:
+    """Bits of a filter of n keys that wrongly accepts a share ``rate`` of others."""
+    return max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64)
+
+
+def first_rate(n: int, others: int) -> float:
+    """How often the first level may err."""
+    return min(0.5, max(1e-9, n / (math.sqrt(2) * others))) if others else 0.5
+
+
 class Level:
     """One Bloom filter: its words of 64 bits are a constant of the plan."""
 
     def __init__(self, keys: DataFrame, n: int, rate: float, seed: int) -> None:
         self.hashes, self.seed = max(1, round(-math.log2(rate))), seed
-        self.bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64)
-        if self.bits > MAX_BITS:
-            raise ValueError(f"{n} listed keys need {self.bits} bits; a level holds {MAX_BITS}")
+        self.bits = bits_for(n, rate)
         at = keys.select(F.explode(F.array(*self._places(F.col("key")))).alias("at"))
         word = F.expr("at div 64").alias("word")
         rows = at.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits")).collect()  # at most MAX_BITS / 64 rows
@@ -78,7 +89,7 @@ class Cascade:
         while n:
             if len(self.levels) == MAX_LEVELS:
                 raise RuntimeError("the cascade doesn't end: are the keys distinct?")
-            rate = min(0.5, max(1e-9, n / (math.sqrt(2) * others))) if others and not self.levels else 0.5
+            rate = first_rate(n, others) if not self.levels else 0.5
             self.levels.append(level := Level(inside, n, rate, seed * MAX_LEVELS + len(self.levels)))
             wrong = outside.where(level.holds(F.col("key")))
             inside, outside, n = wrong, inside, wrong.count()
@@ -90,18 +101,43 @@ class Cascade:
         return out
 
 
+class Filters:
+    """A cascade, or, where its first level would be over ``most`` bits, one for each share of the keys by their hash.
+
+    Each key is asked in its own share's cascade only, so membership stays exact; a
+    level's words stay within ``most`` bits.
+    """
+
+    def __init__(self, universe: DataFrame, listed: Column, seed: int = 0, most: int = MAX_BITS) -> None:
+        counts = universe.agg(F.count_if(listed).alias("r"), F.count_if(~listed).alias("s")).first()
+        bits = bits_for(counts["r"], first_rate(counts["r"], counts["s"])) if counts["r"] else 0
+        self.n = max(1, math.ceil(1.1 * bits / most))  # shares differ a little in size
+        self.shares = [Cascade(universe.where(self._share(F.col("key")) == i) if self.n > 1 else universe, listed, seed) for i in range(self.n)]
+
+    def _share(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(self.n))
+
+    def contains(self, key: Column) -> Column:
+        out = self.shares[0].contains(key)
+        for i, c in enumerate(self.shares[1:], 1):
+            out = F.when(self._share(key) == i, c.contains(key)).otherwise(out)
+        return out
+
+
 def suffixes(host: Column) -> Column:
     """The host and its parents."""
     parts = F.split(host, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, unwanted: list[str] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, unwanted: list[str] | None = None, listed_hosts: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every row.
 
     Keys of a url are its host and parents (asked in the list of unwanted hosts) and
     each of them with each prefix of the path that is as long as some rule's path
-    (asked in the block and allow rules).
+    (asked in the block and allow rules). ``listed_hosts`` (column host) is a table of
+    unwanted hosts of any size: it is joined to the universe when the filter is built,
+    never to the pages.
     """
     rules, unwanted = RULES if rules is None else rules, UNWANTED if unwanted is None else unwanted
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -117,9 +153,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, unw
     universe = written(rows.select(F.explode(F.concat("hosts", "fits")).alias("key")).distinct(), "keys")
     named = {v: [h + p for h, p, x in rules if x == v] for v in ("block", "allow")}
     label = F.substring_index("key", ".", 1)
-    block = Cascade(universe, F.col("key").isin(named["block"]), 1)
-    allow = Cascade(universe, F.col("key").isin(named["allow"]), 2)
-    listed = Cascade(universe, ~F.col("key").contains("/") & label.isin(unwanted), 3)
+    block = Filters(universe, F.col("key").isin(named["block"]), 1)
+    allow = Filters(universe, F.col("key").isin(named["allow"]), 2)
+    bad = ~F.col("key").contains("/") & label.isin(unwanted)
+    if listed_hosts is not None:
+        own = listed_hosts.select(F.translate("host", UPPER, LOWER).alias("key")).where("key is not null").distinct().withColumn("in_table", F.lit(True))
+        universe = written(universe.join(own, "key", "left"), "listed")
+        bad = bad | F.coalesce("in_table", F.lit(False))
+    listed = Filters(universe, bad, 3)
     hits = F.transform(F.filter("fits", lambda k: block.contains(k) | allow.contains(k)), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("rule"), F.when(allow.contains(k), "allow").otherwise("block").alias("verdict")))
     best = F.array_min(hits)
     other = F.when(F.exists("hosts", listed.contains), "block").otherwise("allow")
