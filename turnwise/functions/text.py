@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 #: White space as Python's ``str.split`` has it; Java's ``\s`` alone is ASCII.
 SPACE = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 DECORATION = "*#>-`\"'()"
 
 
 def word_count(t: Column) -> Column:
-    return F.regexp_count(t, F.lit(f"[^{SPACE}]+")).cast("long")
+    return F.size(words(t)).cast("long")
 
 
 def strip(t: Column) -> Column:
@@ -19,8 +20,8 @@ def strip(t: Column) -> Column:
 
 
 def words(t: Column) -> Column:
-    """White-space tokens; an empty array for a blank text."""
-    return F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")
+    """White-space tokens; an empty array for a blank text. All white space becomes a blank first: a cut at one sign costs a third of a cut at a class."""
+    return F.filter(F.split(F.translate(t, _BLANKS, " " * len(_BLANKS)), " "), lambda w: w != "")
 
 
 def count_text(t: Column, part: str) -> Column:
