@@ -278,8 +278,36 @@ def test_sentencepiece_same_as_library(docs):
     assert {r.same for r in op5_sentencepiece.round_trip(docs, path).collect()} == {True, None}
 
 
-def test_weighted_path_same_as_library(tmp_path):
-    """A unigram model of our own making: arcs weigh minus the score, the shortest path is the encoding."""
+def test_sentencepiece_odd_strings():
+    """Ids and decoded texts of 20,000 strings of blanks, space signs, controls and signs that need bytes."""
+    path, rng = PATH("piece_bpe_32k.model"), np.random.default_rng(5)
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), op5_sentencepiece.Transducer(op5_sentencepiece.read_model(path))
+    signs = list(" ▁  \t\n\r\u00a0\u200b\x00aeiounstrABC.,;:!?0123456789éüß漢字😀the ing") + ["e" * 150, "qx" * 80]
+    strings = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(20_000)]
+    for t, want, back in zip(strings, lib.encode(strings), lib.decode(lib.encode(strings)), strict=True):
+        ids = own.encode(t)
+        assert ids == want and own.decode(ids) == back, repr(t)
+
+
+def test_model_that_is_not_compiled(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.pieces.add(piece="a", score=0.0, type=sentencepiece_model_pb2.ModelProto.SentencePiece.USER_DEFINED)
+    m.normalizer_spec.remove_extra_whitespaces = False
+    path = f"{tmp_path}/own.model"
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    with pytest.raises(ValueError, match="user-defined"):
+        op5_sentencepiece.read_model(path)
+
+
+@pytest.mark.parametrize("inner", [False, True])
+def test_weighted_path_same_as_library(tmp_path, inner):
+    """A unigram model of our own making: arcs weigh minus the score, the shortest path is the encoding.
+
+    With ``inner``, pieces reach over a space sign, so texts are not cut there.
+    """
     from sentencepiece import sentencepiece_model_pb2
 
     rng = np.random.default_rng(9)
@@ -291,7 +319,7 @@ def test_weighted_path_same_as_library(tmp_path):
         add(f"<0x{b:02X}>", 0.0, kinds.BYTE)
     pieces = sorted({"".join(rng.choice(list("abcé▁"), rng.integers(1, 5))) for _ in range(150)} | set("abc▁"))
     for p in pieces:
-        if "▁" not in p[1:]:
+        if inner or "▁" not in p[1:]:
             add(p, float(-rng.uniform(1, 9)), kinds.NORMAL)
     m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = 1, True, len(m.pieces)
     m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True

@@ -1,19 +1,24 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into three machines: a normaliser (blanks become the
-space sign, one is put before the text), the pieces (a trie), and byte fallback (for
-a character that no piece holds). An input composed with them is a lattice: its
-states are places in the text, its arcs pieces or fallback bytes.
-
-In a byte-pair model a path is the encoding just if each two neighbours on it are
-what merging gives for their own text. So arcs are pairs of pieces: a pair that
-merging would cut otherwise weighs infinity, any other nothing, and the shortest
-path in the tropical semiring (sums along a path, minimum over paths) is the
-encoding. A unigram model's arcs weigh minus the piece's score instead, and need no
-pairs. Decoding inverts the machines: pieces to text, byte pieces to bytes.
-
-No piece reaches from a character over a following space sign, so a text is cut
-there and each part encoded once per worker while it is remembered.
+The model file is compiled into three machines. The normaliser has one state that
+reads a character and writes it, or the space sign for a blank, and before it a state
+that writes a space sign and reads nothing. The pieces are a trie that reads a piece's
+characters, writes its id and returns to its root. Byte fallback is an arc of the
+root for each character that is no piece: it writes the character's bytes. They are
+composed once: as the normaliser writes one sign an arc, the composed machine is the
+trie whose arcs read what the normaliser reads to write their sign.
+
+An input composed with this machine is a lattice: its states are places in the text,
+its arcs pieces or fallback bytes. The encoding is its shortest path in the tropical
+semiring (sums along a path, minimum over paths), found place by place. In a unigram
+model an arc weighs minus its piece's score. In a byte-pair model a path is the
+encoding just if each two neighbours on it are what merging gives for their own text:
+an arc after another weighs nothing if they are, infinity if not, and fallback one.
+Merging a prefix has one result, so a place has one last piece of finite weight and
+need not be split by it. Decoding inverts the machines: ids to bytes, bytes to text.
+
+Where no piece reaches from a character over a following space sign, a text is cut
+there and each part encoded once per worker while it is remembered; else it is one part.
 
 Defined results: a null text gives null ids and decodes to null; an empty one gives
 no ids; ties take the path with the longer last piece; repeated rows and rows without
@@ -37,7 +42,12 @@ from turnwise.llm.common import slices
 SPACE = "▁"
 #: Parts that a worker keeps encoded; when full, the first half stays.
 CACHE_PARTS = 350_000
-_PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Signs of a part up to which it is remembered.
+CACHE_SIGNS = 100
+#: What the composed machine reads where the normaliser reads nothing: no character equals it.
+START = "start"
+_PART = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
+_WHOLE = re.compile("(?s).+")
 _STATE: dict = {}
 _INF = float("inf")
 
@@ -52,39 +62,50 @@ def read_model(path: str) -> dict:
     norm = proto.normalizer_spec
     if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
         raise ValueError("only models with an identity normaliser that keeps white space are compiled")
+    if any(p.type in (4, 5) for p in proto.pieces):
+        raise ValueError("pieces that are user-defined or unused are not compiled")
     return {"pieces": [(p.piece, p.score, p.type) for p in proto.pieces], "prefix": norm.add_dummy_prefix, "unigram": proto.trainer_spec.model_type == 1}
 
 
 class Transducer:
-    """Normaliser, pieces and byte fallback of one model, composed with inputs on demand."""
+    """Normaliser, pieces and byte fallback of one model, composed; inputs are composed on demand."""
 
     def __init__(self, model: dict) -> None:
         self.model, self.pieces, self.score = model, {}, {}
         self.bytes: dict[int, int] = {}
         self.text: list[str | None] = []
         for i, (piece, score, kind) in enumerate(model["pieces"]):
-            self.text.append(piece if kind in (1, 4) else None)
-            if kind in (1, 4):
+            self.text.append(piece if kind == 1 else None)
+            if kind == 1:
                 self.pieces[piece] = i
                 self.score[i] = score
             elif kind == 6:
                 self.bytes[int(piece[3:-1], 16)] = i
             elif kind == 2:
                 self.unknown = i
-        self.trie: dict = {}
+        self.writes = {" ": SPACE, START: SPACE}  # the normaliser; it writes other characters as they are
+        self.root = self._composed({SPACE: (SPACE, " ", START)})
+        self.part = _WHOLE if any(SPACE in p.lstrip(SPACE) for p in self.pieces) else _PART
+        back = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.raw = [back.get(i, (t or "").encode()) for i, t in enumerate(self.text)]
+        scores = self.score.values()
+        # the library takes 10 off the least score for a sign that no piece holds
+        self.least, self.fallback = (-max(scores, default=0.0), 10.0 - min(scores, default=0.0)) if model["unigram"] else (0.0, 1.0)
+        self.pairs: dict[int, float] = {}
+        self.known: dict[str | tuple[str, ...], tuple[int, ...]] = {}
+
+    def _composed(self, reads: dict[str, tuple[str, ...]]) -> dict:
+        """The trie of the pieces behind the normaliser, given by what it reads for each sign that it writes."""
+        root: dict = {}
         for piece, i in self.pieces.items():
-            node = self.trie
+            node = root
             for c in piece:
-                node = node.setdefault(c, {})
+                labels = reads.get(c, (c,))
+                following = node.setdefault(labels[0], {})
+                node.update((r, following) for r in labels[1:])
+                node = following
             node[""] = i
-        back = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.raw = [back.get(i, (t or "").encode()) for i, t in enumerate(self.text)]
-        self.fallback = 10.0 - min(self.score.values(), default=0.0)  # what the library takes off for a sign that no piece holds
-        self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def normalise(self, text: str) -> str:
-        return ((" " if self.model["prefix"] else "") + text).replace(" ", SPACE) if text else ""
+        return root
 
     def _merged(self, text: str) -> list[str]:
         """What merging makes of a short text: the best-scored neighbours first, the leftmost of equals."""
@@ -96,81 +117,50 @@ class Transducer:
             i = min(at)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _stands(self, left: int, right: int) -> bool:
-        """Whether merging the text of two pieces (or of the right one, at the start) gives just these."""
+    def _pair(self, left: int, right: int) -> float:
+        """Nothing if merging the text of two pieces (without a left one, of the right) gives just these, else infinity."""
         a, b = ([] if left < 0 else [self.text[left]]), self.text[right]
-        self.pairs[left * len(self.text) + right] = ok = self._merged("".join(a) + b) == [*a, b]
-        return ok
-
-    def _arcs(self, part: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the pieces that begin at a place, shortest first; piece -2 is the fallback."""
-        node, end, out = self.trie.get(part[at]), at + 1, []
-        if node is None or "" not in node:
-            out.append((end, -2))
-        while node is not None:
-            if "" in node:
-                out.append((end, node[""]))
-            if end == len(part):
+        self.pairs[left * len(self.text) + right] = w = 0.0 if self._merged("".join(a) + b) == [*a, b] else _INF
+        return w
+
+    def _fallen(self, sign: str) -> list[int]:
+        """What the fallback arc that reads a sign writes."""
+        return [self.bytes[b] for b in self.writes.get(sign, sign).encode()] if self.bytes else [self.unknown]
+
+    def shortest(self, chain: str | tuple[str, ...]) -> tuple[int, ...]:
+        """Ids on the shortest path through an input, given as the signs that the composed machine reads."""
+        size, n, root, least = len(chain), len(self.text), self.root, self.least
+        score, pairs = (self.score if self.model["unigram"] else None), self.pairs
+        dist, came, last = [0.0] + [_INF] * size, [-1] * (size + 1), [-1] * (size + 1)
+        bound = least if least >= 0 else size * least  # no path weighs less
+        for at in range(size):
+            if dist[size] <= bound:
                 break
-            node = node.get(part[end])
-            end += 1
-        return out
-
-    def _byte_pair_path(self, part: str) -> list[tuple[int, int]]:
-        """(start, piece) arcs. All finite weights are nothing, so the first whole path is a shortest one.
-
-        A place can be reached by one last piece only (merging a prefix has one
-        result), so a place that led nowhere is never tried again.
-        """
-        size, n, pairs, dead = len(part), len(self.text), self.pairs, set()
-        path: list[tuple[int, int]] = []
-        open_ = [(0, -1, self._arcs(part, 0))]
-        while open_:
-            at, left, arcs = open_[-1]
-            while arcs:
-                end, piece = arcs.pop()
-                if end in dead:
-                    continue
-                if piece >= 0 and left != -2:
-                    ok = pairs.get(left * n + piece)
-                    if not (self._stands(left, piece) if ok is None else ok):
-                        continue
-                elif piece >= 0 and not pairs.get(-n + piece, None) and not self._stands(-1, piece):
-                    continue
-                path.append((at, piece))
+            here, left = dist[at], last[at]
+            node, end = root.get(chain[at]), at + 1
+            if (node is None or "" not in node) and here + self.fallback < dist[end]:
+                dist[end], came[end], last[end] = here + self.fallback, at, -1
+            while node is not None:
+                if "" in node and here + least < dist[end]:
+                    piece = node[""]
+                    if score is not None:
+                        w = -score[piece]
+                    else:
+                        w = pairs.get(left * n + piece)
+                        if w is None:
+                            w = self._pair(left, piece)
+                    if here + w < dist[end]:
+                        dist[end], came[end], last[end] = here + w, at, piece
                 if end == size:
-                    return path
-                open_.append((end, piece, self._arcs(part, end)))
-                break
-            else:
-                dead.add(at)
-                open_.pop()
-                if path:
-                    path.pop()
-        raise ValueError("no path: the pieces don't cover the text")
-
-    def _unigram_path(self, part: str) -> list[tuple[int, int]]:
-        best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(_INF, -1, -1)] * len(part)  # weight, from, piece
-        for at in range(len(part)):
-            for end, piece in self._arcs(part, at):
-                w = best[at][0] + (-self.score[piece] if piece >= 0 else self.fallback)
-                if w < best[end][0]:
-                    best[end] = (w, at, piece)
-        path, at = [], len(part)
-        while at > 0:
-            _, at, piece = best[at]
-            path.append((at, piece))
-        return path[::-1]
-
-    def shortest(self, part: str) -> tuple[int, ...]:
-        """Ids on the lattice's shortest path."""
-        out: list[int] = []
-        for at, piece in self._unigram_path(part) if self.model["unigram"] else self._byte_pair_path(part):
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out += [self.bytes[b] for b in part[at].encode()] if self.bytes else [self.unknown]
-        return tuple(out)
+                    break
+                node = node.get(chain[end])
+                end += 1
+        out: list[list[int]] = []
+        end = size
+        while end > 0:
+            out.append([last[end]] if last[end] >= 0 else self._fallen(chain[end - 1]))
+            end = came[end]
+        return tuple(i for ids in reversed(out) for i in ids)
 
     def encode(self, text: str) -> list[int]:
         if len(self.known) > CACHE_PARTS:
@@ -178,10 +168,15 @@ class Transducer:
         if len(self.pairs) > 4 * CACHE_PARTS:
             self.pairs.clear()
         known, out = self.known, []
-        for part in _PART.findall(self.normalise(text)):
+        parts: list = self.part.findall(text)
+        if parts and self.model["prefix"]:
+            parts[0] = (START, *parts[0])
+        for part in parts:
             ids = known.get(part)
             if ids is None:
-                ids = known[part] = self.shortest(part)
+                ids = self.shortest(part)
+                if len(part) <= CACHE_SIGNS:
+                    known[part] = ids
             out += ids
         return out
 
