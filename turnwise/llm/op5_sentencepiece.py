@@ -10,12 +10,13 @@ trie whose arcs read what the normaliser reads to write their sign.
 
 An input composed with this machine is a lattice: its states are places in the text,
 its arcs pieces or fallback bytes. The encoding is its shortest path in the tropical
-semiring (sums along a path, minimum over paths), found place by place. In a unigram
-model an arc weighs minus its piece's score. In a byte-pair model a path is the
-encoding just if each two neighbours on it are what merging gives for their own text:
-an arc after another weighs nothing if they are, infinity if not, and fallback one.
-Merging a prefix has one result, so a place has one last piece of finite weight and
-need not be split by it. Decoding inverts the machines: ids to bytes, bytes to text.
+semiring (sums along a path, minimum over paths). In a unigram model an arc weighs
+minus its piece's score, and the path is found place by place. In a byte-pair model
+a path is the encoding just if each two neighbours on it are what merging gives for
+their own text: an arc after another weighs nothing if they are and infinity if not,
+so the first whole path of finite weight is a shortest one. Merging a prefix has one
+result, so a place has one last piece of finite weight and need not be split by it.
+Decoding inverts the machines: ids to bytes, bytes to text.
 
 Where no piece reaches from a character over a following space sign, a text is cut
 there and each part encoded once per worker while it is remembered; else it is one part.
@@ -88,9 +89,7 @@ class Transducer:
         self.part = _WHOLE if any(SPACE in p.lstrip(SPACE) for p in self.pieces) else _PART
         back = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [back.get(i, (t or "").encode()) for i, t in enumerate(self.text)]
-        scores = self.score.values()
-        # the library takes 10 off the least score for a sign that no piece holds
-        self.least, self.fallback = (-max(scores, default=0.0), 10.0 - min(scores, default=0.0)) if model["unigram"] else (0.0, 1.0)
+        self.fallback = 10.0 - min(self.score.values(), default=0.0)  # what the library takes off for a sign that no piece holds
         self.pairs: dict[int, float] = {}
         self.known: dict[str | tuple[str, ...], tuple[int, ...]] = {}
 
@@ -127,40 +126,69 @@ class Transducer:
         """What the fallback arc that reads a sign writes."""
         return [self.bytes[b] for b in self.writes.get(sign, sign).encode()] if self.bytes else [self.unknown]
 
-    def shortest(self, chain: str | tuple[str, ...]) -> tuple[int, ...]:
-        """Ids on the shortest path through an input, given as the signs that the composed machine reads."""
-        size, n, root, least = len(chain), len(self.text), self.root, self.least
-        score, pairs = (self.score if self.model["unigram"] else None), self.pairs
-        dist, came, last = [0.0] + [_INF] * size, [-1] * (size + 1), [-1] * (size + 1)
-        bound = least if least >= 0 else size * least  # no path weighs less
-        for at in range(size):
-            if dist[size] <= bound:
+    def _arcs(self, chain: str | tuple[str, ...], at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the arcs that begin at a place, shortest first; piece -1 is the fallback."""
+        node, end, size = self.root.get(chain[at]), at + 1, len(chain)
+        out = [(end, -1)] if node is None or "" not in node else []
+        while node is not None:
+            if "" in node:
+                out.append((end, node[""]))
+            if end == size:
                 break
-            here, left = dist[at], last[at]
-            node, end = root.get(chain[at]), at + 1
-            if (node is None or "" not in node) and here + self.fallback < dist[end]:
-                dist[end], came[end], last[end] = here + self.fallback, at, -1
-            while node is not None:
-                if "" in node and here + least < dist[end]:
-                    piece = node[""]
-                    if score is not None:
-                        w = -score[piece]
-                    else:
-                        w = pairs.get(left * n + piece)
-                        if w is None:
-                            w = self._pair(left, piece)
-                    if here + w < dist[end]:
-                        dist[end], came[end], last[end] = here + w, at, piece
+            node = node.get(chain[end])
+            end += 1
+        return out
+
+    def _first_path(self, chain: str | tuple[str, ...]) -> list[tuple[int, int]]:
+        """(place, piece) arcs of a shortest path where finite weights are nothing: the first whole path, longest arcs first."""
+        size, n, pairs, dead = len(chain), len(self.text), self.pairs, set()
+        path: list[tuple[int, int]] = []
+        at, left, arcs, open_ = 0, -1, self._arcs(chain, 0), []
+        while True:
+            while arcs:
+                end, piece = arcs.pop()
+                if end in dead:
+                    continue
+                if piece >= 0:
+                    w = pairs.get(left * n + piece)
+                    if (self._pair(left, piece) if w is None else w) == _INF:
+                        continue
+                path.append((at, piece))
                 if end == size:
-                    break
-                node = node.get(chain[end])
-                end += 1
-        out: list[list[int]] = []
-        end = size
-        while end > 0:
-            out.append([last[end]] if last[end] >= 0 else self._fallen(chain[end - 1]))
-            end = came[end]
-        return tuple(i for ids in reversed(out) for i in ids)
+                    return path
+                open_.append((at, left, arcs))
+                at, left, arcs = end, piece, self._arcs(chain, end)
+            # a place has one last piece of finite weight, so what led nowhere once always does
+            dead.add(at)
+            if not open_:
+                raise ValueError("no path: the pieces don't cover the text")
+            at, left, arcs = open_.pop()
+            path.pop()
+
+    def _least_path(self, chain: str | tuple[str, ...]) -> list[tuple[int, int]]:
+        """(place, piece) arcs of the shortest path where an arc weighs minus its piece's score, place by place."""
+        size = len(chain)
+        dist, back = [0.0] + [_INF] * size, [(-1, -1)] * (size + 1)
+        for at in range(size):
+            for end, piece in self._arcs(chain, at):
+                w = dist[at] + (-self.score[piece] if piece >= 0 else self.fallback)
+                if w < dist[end]:
+                    dist[end], back[end] = w, (at, piece)
+        path, at = [], size
+        while at > 0:
+            path.append(back[at])
+            at = back[at][0]
+        return path[::-1]
+
+    def shortest(self, chain: str | tuple[str, ...]) -> tuple[int, ...]:
+        """Ids on the shortest path through an input, given as the signs that the composed machine reads."""
+        out: list[int] = []
+        for at, piece in self._least_path(chain) if self.model["unigram"] else self._first_path(chain):
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += self._fallen(chain[at])
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         if len(self.known) > CACHE_PARTS:
