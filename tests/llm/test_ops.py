@@ -591,6 +591,19 @@ def test_packing_ids_of_odd_white_space():
         assert raw == struct.pack(f"<{len(enc.ids)}I", *enc.ids), repr(t)
 
 
+def test_packing_caches_are_bounded(monkeypatch):
+    """Within one call too, whatever the texts hold; ids stay those of the library."""
+    monkeypatch.setattr(op10_packing, "CACHE_CHUNKS", 100)
+    monkeypatch.setattr(op10_packing, "_STATE", {})
+    path, rng = PATH("byte_bpe_50k.json"), np.random.default_rng(6)
+    texts = ["\n".join(" ".join(f"w{k}" for k in rng.integers(0, 900, 40)) for _ in range(5)) for _ in range(30)] + ["x" * 500, "a " + "yz" * 200]
+    got = op10_packing.encode_packed(texts, path, PATH("byte_bpe_50k.tiktoken"))
+    for enc, raw in zip(Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False), got, strict=True):
+        assert raw == struct.pack(f"<{len(enc.ids)}I", *enc.ids)
+    caches = [v for v in op10_packing._STATE.values() if isinstance(v, dict)]
+    assert len(caches) == 3 and all(len(c) <= 100 and all(len(k) <= 64 for k in c) for c in caches)
+
+
 def test_pipeline(spark, tmp_path, docs, labels):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")

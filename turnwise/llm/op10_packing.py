@@ -31,8 +31,10 @@ from turnwise.llm.common import slices, written
 
 MAX_TOKENS = 2048
 END_ID = 1
-#: Distinct chunks a worker keeps encoded; when full, the half that came first (the frequent ones) stays.
-CACHE_CHUNKS = 400_000
+#: Distinct chunks of one kind that a worker keeps encoded; when full, the half that came first (the frequent ones) stays.
+CACHE_CHUNKS = 200_000
+#: Characters of the longest chunk that is kept.
+CACHE_LENGTH = 64
 #: White space but space and line end, as Python has it, and signs that other libraries once counted as such.
 _OTHER = [chr(c) for c in range(0x110000) if chr(c).isspace() and c not in (10, 32)] + ["\u180e", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"]
 _OTHER_ASCII = [c for c in _OTHER if c < "\x80"]
@@ -40,7 +42,7 @@ _STATE: dict = {}
 
 
 class _Chunks(dict):
-    """Encoded chunks by text without the white space before them; misses are encoded and kept."""
+    """Encoded chunks by text without the white space before them; misses are encoded and kept within bounds."""
 
     def __init__(self, lead: str, encode) -> None:
         super().__init__()
@@ -48,29 +50,37 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(self.lead + chunk)
-        self[chunk] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= CACHE_LENGTH:
+            if len(self) >= CACHE_CHUNKS:
+                first = list(itertools.islice(self.items(), CACHE_CHUNKS // 2))
+                self.clear()
+                self.update(first)
+            self[chunk] = out
         return out
 
-    def trim(self) -> None:
-        if len(self) > CACHE_CHUNKS:
-            first = list(itertools.islice(self.items(), CACHE_CHUNKS // 2))
-            self.clear()
-            self.update(first)
-
 
 def _load(path: str, ranks_path: str) -> dict:
     if _STATE.get("path") != path:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _STATE.update(path=path, tok=Tokenizer.from_file(path), **{k: _Chunks(lead, fast.encode_ordinary) for k, lead in (("first", ""), ("space", " "), ("line", "\n"))})
+        _STATE.update(path=path, whole=None, **{k: _Chunks(lead, fast.encode_ordinary) for k, lead in (("first", ""), ("space", " "), ("line", "\n"))})
     return _STATE
 
 
+def _whole(state: dict, text: str) -> list[int]:
+    """Ids by the tokenizer library, which is loaded when a text first needs it."""
+    if state["whole"] is None:
+        from tokenizers import Tokenizer
+
+        state["whole"] = Tokenizer.from_file(state["path"])
+    return state["whole"].encode(text, add_special_tokens=False).ids
+
+
 def single_blanks(text: str) -> bool:
     """Whether all white space of a text is single spaces and line ends, none at its end and no two side by side."""
     if text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
@@ -89,15 +99,13 @@ def encode_packed(texts: list[str | None], path: str, ranks_path: str) -> list[b
     """
     state = _load(path, ranks_path)
     first, space, line = state["first"], state["space"], state["line"]
-    for cache in (first, space, line):
-        cache.trim()
     out = []
     for text in texts:
         if not text:
             out.append(b"")
             continue
         if "<|" in text or not single_blanks(text):
-            ids = state["tok"].encode(text, add_special_tokens=False).ids
+            ids = _whole(state, text)
             out.append(struct.pack(f"<{len(ids)}I", *ids))
             continue
         rows = [x.split(" ") for x in text.split("\n")]
