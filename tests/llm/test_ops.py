@@ -251,6 +251,38 @@ def test_score_is_a_causal_sum():
         assert np.allclose(np.array(spelled)[cold], np.array(want_rest)[cold], atol=1e-3)
 
 
+def test_all_ids_of_all_training_texts_train(spark):
+    """Each id is scored in one window, and the pass over the texts moves the rows of all ids of long and short texts."""
+    path = PATH("byte_bpe_50k.tiktoken")
+    begins, encode = op4_lm.begins_word(path), op4_lm._encoder(path)
+    docs = [[f"w{k}x{i}".encode() for k in range(n)] for i, n in enumerate((400, 0, 1, 90))] + [["\u00e9t\u00e9".encode()] * 3]
+    ids = [[i for w in d for i in encode(w)] for d in docs]
+    voc = op4_lm.Vocabulary(np.bincount(sum(ids, []), minlength=len(begins)).astype(float), begins)
+    net, rng = op4_lm.Attention.fresh(voc), np.random.default_rng(4)
+    net.p = {k: (v + rng.standard_normal(v.shape) * 0.1).astype(np.float32) for k, v in net.p.items()}
+    model = op4_lm.Scorer(net, voc.slot, path)
+    scored = model.windows(docs)[:, op4_lm.CONTEXT :]
+    assert sorted(scored[scored < len(voc)].tolist()) == sorted([*voc.slot[sum(ids, [])].tolist(), *[0] * len(docs)])
+    model.clear()
+    model.encode = None
+    texts = spark.createDataFrame([(b" ".join(d).decode(),) for d in docs], "text string").repartition(2)
+    moved = (op4_lm.go_on(texts, model).p["emb"] != net.p["emb"]).any(axis=1)
+    assert moved[voc.slot[sum(ids, [])]].all()
+
+
+def test_words_encoded_together():
+    """Many at a time or each alone: the same ids."""
+    path, rng = PATH("byte_bpe_50k.tiktoken"), np.random.default_rng(1)
+    bits = ["a", "it", "'s", "'ll", "x1", "\u00e9", "\u65e5\u672c", "!?", "_", "\x00", "\x7f", "23", "<|", "\u0301", ".", "'"]
+    odd = ["\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", "\u180e"]
+    encode = op4_lm._encoder(path)
+    for signs in (bits, bits + odd):
+        words = ["".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(1, 6))).encode() for _ in range(20_000)]
+        ids, sizes = op4_lm.encode_words(encode, op4_lm.begins_word(path), words, 50)
+        each = list(map(encode, words))
+        assert sizes.tolist() == list(map(len, each)) and ids.tolist() == [i for e in each for i in e]
+
+
 def test_lm_scores_beat_the_base(spark):
     """On text whose words follow each other by a rule, the model of held-out texts is above the unigram base; a row's score is its words' sum."""
     rng = np.random.default_rng(3)
