@@ -192,6 +192,25 @@ def test_attention_gradients():
             assert abs((up - down) / 2e-5 - full[k][at]) < 1e-5, k
 
 
+def test_gradients_of_parts():
+    """Windows that go through attention in parts have the gradients of all at once, and places without weight none."""
+    voc, net = small_net()
+    w = np.random.default_rng(7).integers(0, len(voc) + 1, (300, op4_lm.WINDOW))
+    weight = (w[:, op4_lm.CONTEXT :] < len(voc)) / 4000
+    parts: list[dict] = [{}, {}, {}]
+    for keep, at in zip(parts, (slice(0, 100), slice(100, 290), slice(290, 300)), strict=True):
+        net.hidden(w[at], keep)
+    keep = {}
+    net.hidden(w, keep)
+    a, b = net.gradients(parts, weight), net.gradients(keep, weight)
+    assert (a["emb"][0] == b["emb"][0]).all() and np.allclose(a["emb"][1], b["emb"][1])
+    assert all(np.allclose(a[k], b[k]) for k in a if k not in net.ROWS)
+    assert all(np.allclose(a[k][c], x) for k in ("in", "bi") for c, x in b[k].items())
+    x = w.copy()
+    x[:, op4_lm.CONTEXT :] = len(voc)
+    assert all(not np.any(v) for k, v in net.gradients(keep | {"w": x}, weight * 0).items() if k not in net.ROWS)
+
+
 def test_attention_is_a_causal_distribution():
     voc, net = small_net()
     w = np.random.default_rng(1).integers(0, len(voc), (1, op4_lm.WINDOW))
