@@ -680,3 +680,28 @@ def test_repeated_rows_stay_once(spark):
     left = corpus_pipeline.substrings(spark, out.select("doc_id", "text"), "").collect()
     assert sorted(r.text for r in left) == [a, b, c]
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_logs_given_that_a_word_begins():
+    """First ids from the classes of first ids alone: the same as the log of the share; logits are capped before they are read, beside NaN too."""
+    voc, net = small_net()
+    y = np.random.default_rng(8).standard_normal((200, op4_lm.DIM))
+    slot = np.random.default_rng(9).integers(0, voc.start[voc.first], 200)
+    logs, begin = net.logs(y, slot)
+    assert np.allclose(net.logs(y, slot, True)[0], logs - begin)
+    y[::2] *= 500
+    y[5] = np.nan
+    logs, begin = net.logs(y, slot)
+    real = np.arange(200) != 5
+    assert (logs[real] <= 1e-9).all() and np.isfinite(logs[real]).all() and np.isnan(logs[5])
+
+
+def test_unseen_ids_share_a_class():
+    """Classes tell the ids of the training texts apart; the others cost one class of either kind, not dozens."""
+    counts = np.zeros(50_000)
+    counts[:300] = np.arange(300, 0, -1)
+    voc = op4_lm.Vocabulary(counts, np.arange(50_000) % 3 > 0)
+    sizes = np.diff(voc.start)
+    unseen = np.unique(voc.cls[voc.slot[300:-1]])
+    assert len(unseen) == 2 and sizes[unseen].sum() == 49_700 and len(sizes) < 40 and sizes.sum() == 50_001
+    assert not np.isin(voc.cls[voc.slot[:300]], unseen).any() and abs(np.exp(voc.class_bias).sum() - 1) < 1e-6
