@@ -112,3 +112,36 @@ def test_clusters_of_five_features(spark):
     assert {(x.conv_id % 2, x.label) for x in got} == {(0, "Short concise (escalating)"), (1, "Short concise (tapering)")}
     assert structure.cluster_label(30, 0, 0, 0, 600) == "Deep verbose (steady)"
     assert structure.clusters(turns(spark, [("s", c, k, "user", "the same") for c in range(12) for k in range(2)])).count() == 12
+
+
+def as_sql(spark, path, name, rows):
+    """Rows of a query and of its SQL over conversations of (conv_id, turn, role, text)."""
+    import duckdb
+
+    from turnwise.plans import conversation
+
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    got, want = conversation.QUERIES[name](spark, str(path)), con.sql(conversation.ORACLES[name])
+    return (sorted((tuple(float(r[c]) if type(r[c]).__name__ == "Decimal" else r[c] for c in want.columns) for r in x), key=str) for x in (got.collect(), [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]))
+
+
+def test_rounded_as_sql(spark):
+    import duckdb
+
+    values = [(k * 10 + 5) / 10 ** (d + 1) for d in (1, 2, 3, 4) for k in range(7000, 7400)] + [-0.72025, 1.5, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", *(stats.rounded("v", d).alias(f"r{d}") for d in (1, 2, 3, 4))).collect()
+    want = duckdb.execute("SELECT v, round(v, 1), round(v, 2), round(v, 3), round(v, 4) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_all_inflections_as_sql(spark, tmp_path):
+    """The last months have values on a tie of the rounding, a hedge before an accent and a carriage return before a mark."""
+    rows = [(30 * m, t, "assistant", "word other words " * 40 + "could\n# mot " * (m % 3 % 2)) for m in range(7) for t in (2, 5)]
+    rows += [(210, t, "assistant", " ".join(["the", *["une"] * (k % 2), "mayé could could\r# head\n# head", *["mot"] * 40])) for k, t in enumerate(range(2, 122, 3))]
+    rows += [(240, 2, "assistant", "could " * 9 + "mot " * 1591)]  # 9 of 1600: 5.625
+    rows += [(270, 2, "assistant", "could " * 461 + "mot " * 31539)]  # 461 of 32000: 14.40625
+    got, want = as_sql(spark, tmp_path, "all_inflections", rows)
+    assert got == want and {r[2] for r in got} >= {"hedges_per_1k", "marks_per_1k"}
