@@ -145,3 +145,16 @@ def test_all_inflections_as_sql(spark, tmp_path):
     rows += [(270, 2, "assistant", "could " * 461 + "mot " * 31539)]  # 461 of 32000: 14.40625
     got, want = as_sql(spark, tmp_path, "all_inflections", rows)
     assert got == want and {r[2] for r in got} >= {"hedges_per_1k", "marks_per_1k"}
+
+
+#: Openings of texts of which Java's default boundary and case differ from SQL's.
+OPENINGS = ["doé these words for me", "testê or not, in a word", "Do the first of them", "can youé say it again", "what iſ the way to it", "maKe a list of the names", "lıst them all in order", "docs are here for you", "what isé to be done there", "DO it once more for me"]
+
+
+def test_first_message_as_sql(spark, tmp_path):
+    """Openings as above, a first turn without a text, and a mean and a share on a tie of the rounding."""
+    rows = [(3 * c, t, "user", text) for c, text in enumerate(OPENINGS) for t in (1, 2)] + [(3, 0, "user", None), (6, 0, "user", None)]
+    for source, n in ((1, 160), (2, 800)):
+        rows += [(300 + 3 * c + source, (3 - (300 + source)) % 3 + 2, "user", "Write the word again now" if c % 160 < 23 else "Are all words in this one?" if c % 7 else "nothing of all that, then") for c in range(n)]
+    got, want = as_sql(spark, tmp_path, "first_message", rows)
+    assert got == want and len(got) > 6
