@@ -151,6 +151,11 @@ def test_all_inflections_as_sql(spark, tmp_path):
 OPENINGS = ["doé these words for me", "testê or not, in a word", "Do the first of them", "can youé say it again", "what iſ the way to it", "maKe a list of the names", "lıst them all in order", "docs are here for you", "what isé to be done there", "DO it once more for me"]
 
 
+def test_framing_as_sql(spark, tmp_path):
+    got, want = as_sql(spark, tmp_path, "framing", [(3 * c, t, "user", text) for c, text in enumerate(OPENINGS) for t in range(6)])
+    assert got == want and {r[1] for r in got} == {"imperative", "request", "other"}
+
+
 def test_first_message_as_sql(spark, tmp_path):
     """Openings as above, a first turn without a text, and a mean and a share on a tie of the rounding."""
     rows = [(3 * c, t, "user", text) for c, text in enumerate(OPENINGS) for t in (1, 2)] + [(3, 0, "user", None), (6, 0, "user", None)]
