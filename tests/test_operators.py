@@ -163,3 +163,11 @@ def test_first_message_as_sql(spark, tmp_path):
         rows += [(300 + 3 * c + source, (3 - (300 + source)) % 3 + 2, "user", "Write the word again now" if c % 160 < 23 else "Are all words in this one?" if c % 7 else "nothing of all that, then") for c in range(n)]
     got, want = as_sql(spark, tmp_path, "first_message", rows)
     assert got == want and len(got) > 6
+
+
+def test_rephrase_report_as_sql(spark, tmp_path):
+    """Letters (0, 5, 5) and (3, 4, 5): a cosine of 0.9 to the last bit. Texts without letters. Rates on a tie of the rounding."""
+    pairs = [("bbbbbccccc", "aaabbbbccccc")] * 23 + [("0123456789 0", "?????????? !"), ("0123456789 0", "aaabbbbccccc")] + [("aaaaaaaaaa", "zzzzzzzzzz")] * 375
+    rows = [(21 * c, t, role, text) for c, (a, b) in enumerate(pairs) for t, role, text in ((2, "user", a), (3, "assistant", "yes"), (5, "user", b))]
+    got, want = as_sql(spark, tmp_path, "rephrase_report", rows)
+    assert got == want and [r[1] for r in got] == [25]
